@@ -55,9 +55,7 @@ def terms(text: Column, categories: list[tuple[str, list[str]]] = L.TERM_CATEGOR
     Duplicates are dropped whatever their case; the first category and spelling win.
     """
     found = [_category_terms(text, category, words) for category, words in categories]
-    every = F.concat(*found)
-    folded = F.transform(every, lambda t: F.lower(t["term"]))
-    return F.filter(every, lambda t, i: F.array_position(folded, F.lower(t["term"])) == i + 1)
+    return T.let(F.concat(*found), lambda every: T.first_by(every, lambda t: F.lower(t["term"])))
 
 
 def _category_terms(text: Column, category: str, words: list[str]) -> Column:
@@ -91,16 +89,14 @@ def _titled(description: Column, pattern: str, prefix: str) -> Column:
 def sub_locations(site: Column, name: Column, description: Column) -> Column:
     """Sub-location records of a site; the site itself if none is named."""
     notable = F.concat(F.lit("Notable feature of "), name)
-    names = sub_location_names(description)
-    found = F.transform(
-        names,
-        lambda n, i: _sub_location(site, i + 1, n, notable, F.lit("")),
-    )
     short = F.when(description != "", F.left(description, F.lit(L.SHORT_CHARS))).otherwise(
         F.concat(F.lit("Archaeological site: "), name)
     )
     itself = F.array(_sub_location(site, F.lit(1), name, short, description))
-    return F.when(F.size(found) > 0, found).otherwise(itself)
+    listed = F.transform(
+        sub_location_names(description), lambda n, i: _sub_location(site, i + 1, n, notable, F.lit(""))
+    )
+    return T.let(listed, lambda found: F.when(F.size(found) > 0, found).otherwise(itself))
 
 
 def _sub_location(site: Column, number: Column, name: Column, short: Column, full: Column) -> Column:
@@ -180,12 +176,13 @@ def opening_hours(text: Column) -> Column:
     The first weekday (Monday first) named in a line counts; a later line replaces an earlier one.  The
     map is built from de-duplicated entries, so it needs no session setting for repeated keys.
     """
-    entries = F.filter(F.transform(F.split(text, "\n"), _hours_entry), lambda e: e["value"].isNotNull())
+    told = F.filter(F.transform(F.split(text, "\n"), _hours_entry), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(T.let(told, _latest_per_day))
+
+
+def _latest_per_day(entries: Column) -> Column:
     days = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    latest = F.transform(
-        days, lambda d: F.element_at(F.filter(entries, _same_day(d)), -1)
-    )
-    return F.map_from_entries(latest)
+    return F.transform(days, lambda d: F.element_at(F.filter(entries, _same_day(d)), -1))
 
 
 def _same_day(day: Column):

@@ -4,6 +4,7 @@ Every function takes and returns Column expressions.  Regular expressions carry
 ``\\s`` and ``\\d`` mean the same for accented and Arabic text on every Java release.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,22 +65,39 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(c, pattern, group)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda would be computed again for each element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_ignoring_case(words: Column) -> Column:
     """Keep the first spelling of every word, in order.
 
     Exact repeats go first through the hash-based ``array_distinct``, so the quadratic step sees only
     different spellings.
     """
-    exact = F.array_distinct(words)
-    folded = F.transform(exact, lambda w: F.lower(w))
-    return F.filter(exact, lambda w, i: F.array_position(folded, F.lower(w)) == i + 1)
+    return let(F.array_distinct(words), lambda exact: first_by(exact, F.lower))
+
+
+def first_by(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The first item of each key, in order; ``items`` must be a column or a :func:`let` variable."""
+    return let(
+        F.transform(items, lambda x: key(x)),
+        lambda keys: F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1),
+    )
 
 
 def phonetic_guide(term: Column) -> Column:
     """Rule-made pronunciation of a term: six replacements, then syllable hyphens in long words."""
     spoken = reduce(lambda c, r: F.regexp_replace(c, f"(?i){r[0]}", r[1]), L.PHONETIC_RULES, term)
-    split = F.regexp_replace(spoken, "(?iu)([aeiou])([^aeiou])", "$1-$2")
-    return title_case(F.when(F.length(spoken) > 6, split).otherwise(spoken))
+    return let(spoken, lambda word: title_case(F.when(F.length(word) > 6, _syllables(word)).otherwise(word)))
+
+
+def _syllables(word: Column) -> Column:
+    return F.regexp_replace(word, "(?iu)([aeiou])([^aeiou])", "$1-$2")
 
 
 def literal_map(entries: dict[str, str]) -> Column:

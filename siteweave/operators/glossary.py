@@ -46,17 +46,19 @@ def glossary(text: Column, name: Column, name_arabic: Column, translations: Colu
     Terms keep category priority; the site's own name comes first if there is room, it has a translation
     and that is not among the terms'.
     """
-    terms = F.slice(X.terms(text), 1, max_terms)
-    entries = F.transform(terms, _entry_of(translations))
     own = F.struct(
         name.alias("english"),
         name_arabic.alias("arabic"),
         T.pronounce(name).alias("pronunciation"),
         F.lit("site_name").alias("context"),
     )
-    room = (F.size(terms) < max_terms) & (F.coalesce(name, F.lit("")) != "")
-    new = (name_arabic != "") & ~F.exists(entries, lambda e: e["arabic"] == name_arabic)
-    return F.when(room & new, F.concat(F.array(own), entries)).otherwise(entries)
+
+    def with_own_name(entries: Column) -> Column:
+        room = (F.size(entries) < max_terms) & (F.coalesce(name, F.lit("")) != "")
+        new = (name_arabic != "") & ~F.exists(entries, lambda e: e["arabic"] == name_arabic)
+        return F.when(room & new, F.concat(F.array(own), entries)).otherwise(entries)
+
+    return T.let(F.transform(F.slice(X.terms(text), 1, max_terms), _entry_of(translations)), with_own_name)
 
 
 def _entry_of(translations: Column):

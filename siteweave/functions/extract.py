@@ -7,10 +7,10 @@ from siteweave import lexicons as L
 from siteweave.functions import text as T
 
 FACT_PATTERN = (
-    rf"(?iU)\b({'|'.join(L.FACT_SUPERLATIVES)})\b"
-    rf"|\b({'|'.join(L.FACT_PHRASES)})\b"
-    rf"|\b(\d{{3,4}}\s*({'|'.join(L.FACT_YEAR_MARKS)}))\b"
-    rf"|\b({'|'.join(L.FACT_UNITS)})\b[^\n]*\b\d+\b"
+    rf"(?U)\b(?=[\d{T.initials(L.FACT_SUPERLATIVES + L.FACT_PHRASES + L.FACT_UNITS)}])(?i)(?:"
+    rf"(?:{'|'.join(L.FACT_SUPERLATIVES + L.FACT_PHRASES)})\b"
+    rf"|\d{{3,4}}\s*(?:{'|'.join(L.FACT_YEAR_MARKS)})\b"
+    rf"|(?:{'|'.join(L.FACT_UNITS)})\b[^\n]*\b\d+\b)"
 )
 FIGURE_PATTERN = T.word_pattern(L.ARTICLE_PHARAOHS, r"\s*" + L.ARTICLE_NUMERAL)
 DEITY_PATTERN = T.word_pattern(L.ARTICLE_DEITIES)

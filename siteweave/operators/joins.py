@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 256          # most keys that get the broadcast path; bounds what is broadcast
 HOT_ROWS = 1_000_000    # rows from which a key is worth that path
 SALTS = 1024
-BLOCK_ROWS = 1_000_000  # positions per numbering block
+BLOCK_ROWS = 100_000    # positions per numbering block
 
 
 def hot_keys(fact: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave import lexicons as L
+from siteweave.operators.children import unnest
 
 
 def count_by_type(listing: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def checkpoint_stats(processed: DataFrame, completed: DataFrame) -> DataFrame:
 
 def entity_counts(site: DataFrame, column: str) -> DataFrame:
     """How many sites name each entity."""
-    return site.select(F.explode(column).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("sites"))
+    return unnest(site.select(column), column, "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("sites"))
 
 
 def class_violations(site: DataFrame) -> DataFrame:

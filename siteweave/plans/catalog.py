@@ -90,7 +90,7 @@ def listing_scan(spark, sf):
 
 @register("listing_card_extract")
 def listing_card_extract(spark, sf):
-    cards = C.listing_pages(spark, sf).select("page_type", F.explode(H.listing_cards(F.col("html"))).alias("c"))
+    cards = children.unnest(C.listing_pages(spark, sf), H.listing_cards(F.col("html")), "c")
     return cards.select(
         F.col("c.href").alias("url"), F.col("c.title").alias("name"), "c.location", "c.description", "c.image", "page_type"
     )
@@ -202,7 +202,7 @@ def short_description(spark, sf):
 
 @register("page_type_filter")
 def page_type_filter(spark, sf):
-    cards = C.listing_pages(spark, sf).select(F.explode(H.listing_cards(F.col("html"))).alias("c")).select("c.href", "c.title")
+    cards = children.unnest(C.listing_pages(spark, sf), H.listing_cards(F.col("html")), "c").select("c.href", "c.title")
     return cards.filter(F.contains("href", F.lit("/museums/")))
 
 
@@ -320,8 +320,8 @@ def clean_text(spark, sf):
 
 @register("sentence_split")
 def sentence_split(spark, sf):
-    parts = C.sites(spark, sf).select("site_key", F.posexplode(T.sentences(F.col("full_description"))).alias("pos", "sentence"))
-    return parts.withColumn("pos", F.col("pos").cast("long"))
+    parts = children.unnest(C.sites(spark, sf).drop("pos"), T.sentences(F.col("full_description")), "sentence")
+    return parts.select("site_key", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 @register("fact_extract")
@@ -351,7 +351,7 @@ def site_terms(spark, sf):
 
 @register("term_extract")
 def term_extract(spark, sf):
-    terms = site_terms(spark, sf).select("site_key", F.posexplode("terms").alias("pos", "t"))
+    terms = children.unnest(site_terms(spark, sf), "terms", "t")
     return terms.select("site_key", F.col("pos").cast("long").alias("pos"), "t.term", "t.category")
 
 
@@ -375,7 +375,7 @@ def title_case(spark, sf):
 @register("sub_location_extract")
 def sub_location_extract(spark, sf):
     subs = X.sub_locations(F.format_string("site_%d", "site_key"), F.col("name"), F.col("full_description"))
-    return C.sites(spark, sf).select(F.explode(subs).alias("s")).select("s.*")
+    return children.unnest(C.sites(spark, sf).drop("pos"), subs, "s").select("s.*")
 
 
 @register("hours_parse")
@@ -456,7 +456,7 @@ def full_dictionary(spark, sf):
 
 @register("translate_lookup")
 def translate_lookup(spark, sf):
-    terms = site_terms(spark, sf).select(F.explode("terms.term").alias("term")).unionByName(
+    terms = children.unnest(site_terms(spark, sf), "terms.term", "term").select("term").unionByName(
         C.listing(spark, sf).select(F.col("name").alias("term"))
     )
     return G.translate(terms.distinct(), full_dictionary(spark, sf))
@@ -470,7 +470,7 @@ def translate_terms(spark, sf):
 
 @register("pronounce_lookup")
 def pronounce_lookup(spark, sf):
-    terms = site_terms(spark, sf).select(F.explode("terms.term").alias("term")).distinct()
+    terms = children.unnest(site_terms(spark, sf), "terms.term", "term").select("term").distinct()
     return terms.select("term", T.pronounce(F.col("term")).alias("pronunciation"))
 
 
@@ -649,7 +649,7 @@ def site_numbering(spark, sf):
 
 @register("child_numbering")
 def child_numbering(spark, sf):
-    names = C.sites(spark, sf).select("site_key", F.posexplode(X.sub_location_names(F.col("full_description"))).alias("n", "sub_name"))
+    names = children.unnest(C.sites(spark, sf), X.sub_location_names(F.col("full_description")), "sub_name", "n")
     return names.select("site_key", (F.col("n") + 1).cast("long").alias("number"), "sub_name")
 
 
@@ -754,8 +754,8 @@ def project_sites(spark, sf):
 
 @register("nest_children")
 def nest_children(spark, sf):
-    tips = tip_rows(spark, sf).select("site_key", F.posexplode("tips").alias("pos", "tip"))
-    nested = children.nest(tips, "site_key", "pos", "tips")
+    tips = children.unnest(tip_rows(spark, sf), "tips", "tip")
+    nested = children.nest(tips.select("site_key", "pos", "tip"), "site_key", "pos", "tips")
     return nested.select("site_key", shown("tips.tip").alias("tips"))
 
 
@@ -834,7 +834,7 @@ def glossary(spark, sf):
     named = named.withColumn("translations", G.lexicon_translations(dictionary))
     text = T.glossary_text(F.col("name"), F.col("description"))
     entries = G.glossary(text, F.col("name"), F.col("name_arabic"), F.col("translations"))
-    return named.select("url", F.posexplode(entries).alias("pos", "e")).select(
+    return children.unnest(named, entries, "e").select(
         "url", F.col("pos").cast("long").alias("pos"), "e.english", "e.arabic", "e.pronunciation", "e.context"
     )
 

@@ -28,7 +28,7 @@ GALLERY = r'(?i)<article\b|class\s*=\s*"(?:[^"]*\s)?(?:gallery|slider)(?:\s[^"]*
 
 def _tail(pieces: Column) -> Column:
     """All pieces of a split but the first."""
-    return F.slice(pieces, 2, F.size(pieces))
+    return F.filter(pieces, lambda p, i: i > 0)
 
 
 def visible(html: Column) -> Column:
@@ -129,15 +129,22 @@ def listing_cards(html: Column) -> Column:
 
 
 def _card(piece: Column) -> Column:
-    tag = F.regexp_extract(piece, r"(?s)^([^>]*)>", 1)
-    body = F.regexp_replace(piece, r"(?is)^[^>]*>|</a\s*>.*$", "")
+    # the parts are computed once each, as several fields read them
+    parts = F.struct(
+        F.regexp_extract(piece, r"(?s)^([^>]*)>", 1).alias("tag"),
+        F.regexp_replace(piece, r"(?is)^[^>]*>|</a\s*>.*$", "").alias("body"),
+    )
+    return T.let(parts, lambda p: _card_fields(p["tag"], p["body"]))
+
+
+def _card_fields(tag: Column, body: Column) -> Column:
     image = F.regexp_extract(body, r"(?is)<img\b([^>]*)>", 1)
     return F.struct(
         attribute(tag, "href").alias("href"),
         attribute(tag, "title").alias("title"),
         inner_text(F.regexp_extract(body, _first_paragraph("location", r".*?"), 1)).alias("location"),
         inner_text(F.regexp_extract(body, _first_paragraph("details", r"\s*"), 1)).alias("description"),
-        attribute(image, "src").alias("image"),
+        T.let(image, lambda tag_: attribute(tag_, "src")).alias("image"),
     )
 
 

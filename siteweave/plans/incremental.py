@@ -141,7 +141,7 @@ class Store:
 
     def clear(self) -> None:
         """Forget progress and finished types; the export stays."""
-        tables.reset(self.spark, f"{self.path}/processed")
+        tables.reset(self.spark, f"{self.path}/processed", partition="batch")
         tables.reset(self.spark, f"{self.path}/completed", S.COMPLETED_TYPE)
 
 

@@ -100,9 +100,10 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def reset(spark: SparkSession, path: str, schema: str = S.PROCESSED) -> None:
+def reset(spark: SparkSession, path: str, schema: str = S.PROCESSED, partition: str | None = None) -> None:
     """Clear progress by writing an empty table over it."""
-    _empty(spark, schema).write.mode("overwrite").parquet(path)
+    writer = _empty(spark, schema).write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
 def lexicon(spark: SparkSession) -> DataFrame:

@@ -171,6 +171,10 @@ def run(
         batch = number * TYPES + rank
         rows = research.first_of_each_type(crawl.listing.filter(F.col("page_type") == page_type), max_sites)
         todo = staged(pending_sites(rows, store.processed(batch, retry_failed), existing))
+        if todo.isEmpty():
+            if mark_completed:
+                store.complete(page_type)
+            continue
         part = Crawl(todo, crawl.pages, crawl.articles, crawl.gazetteer, crawl.known_points, crawl.place_info)
         site = research.research_sites(part, first_number=store.last_number(batch), **options)
         found = crawl.pages.select("url", F.lit(True).alias("_found"))

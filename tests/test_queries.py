@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from siteweave.checks.statements import STATEMENTS
+from siteweave.plans.catalog import QUERIES
 from tests.compare import connect, spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +20,7 @@ def con():
 
 
 def test_every_query_has_its_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(STATEMENTS)
 
 
 def test_entry(spark):

@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteweave.session import staged
@@ -28,7 +28,7 @@ def numbered(df: DataFrame, order: list, number: str) -> DataFrame:
     )
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+def keyed(docs: DataFrame, *columns: Column | str) -> DataFrame:
     """``doc_id`` and ``columns`` with a unique ``_row``, in the order of ``doc_id``.
 
     Where ids are unique and not null, ``_row`` is the id.  Otherwise rows are numbered by id (null last)
@@ -38,7 +38,7 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     odd = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
         return base.withColumn("_row", F.col("doc_id"))
-    return numbered(base, [F.col("doc_id").asc_nulls_last(), F.xxhash64(*columns)], "_row")
+    return numbered(base, [F.col("doc_id").asc_nulls_last(), F.xxhash64(*base.columns[1:])], "_row")
 
 
 def hot_rows(total: int) -> int:

@@ -8,8 +8,8 @@
    n - 1 candidate pairs.  Pairs are confirmed on full shingle sets.
 4. Stars alone could miss a link between two members that are not alike to the centre.  So buckets whose members are
    not yet in one component are completed: each member outside the bucket's largest component is compared with the
-   members of other components, unless their one-bit sketches differ too much (more than 6.5 standard deviations
-   beyond the threshold).
+   members of other components.  The parity of a set's hashes on a bit map differs in at most as many bits as two sets
+   have elements that are not common, so most of these pairs are ruled out for certain by their bit maps.
 
 With the default 32 bands of 5 rows, a pair at the threshold of 0.85 shares no bucket with probability 7e-9 (0.8: 3e-6).
 
@@ -18,12 +18,11 @@ is one shingle; repeated rows and null ids are documents of their own (``rows.ke
 empty table gives an empty result; other columns are not looked at.
 """
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.components import components
@@ -83,13 +82,19 @@ def band_hashes(values: np.ndarray, bands: int) -> np.ndarray:
     return total
 
 
-def one_bit_sketch(values: np.ndarray) -> np.ndarray:
-    """One bit per bin, packed into 64-bit words."""
-    bits = mix(values ^ mix(np.arange(1, values.shape[1] + 1, dtype=np.uint64))) & _U(1)
-    words = -(-values.shape[1] // 64)
-    padded = np.zeros((len(values), words * 64), np.uint64)
-    padded[:, :values.shape[1]] = bits
-    return (padded.reshape(len(values), words, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+def parity_maps(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Bit maps of each set, as lists of longs: a bit is set if an odd number of hashes falls on it.
+
+    A map has a power of two of bits, at least 64 and at least 1.5 for each element; a map of half the bits is the
+    exclusive or of its halves.
+    """
+    size = np.diff(offsets)
+    bits = 1 << np.ceil(np.log2(np.maximum(64, 1.5 * size))).astype(np.int64)
+    start = np.cumsum(bits) - bits
+    place = np.repeat(start, size) + (mix(hashes) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    longs_ = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(bits // 64)].astype(np.int32)), pa.array(longs_))
 
 
 def _lists(matrix: np.ndarray) -> pa.Array:
@@ -97,7 +102,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(_row, n_shingles, set_a, set_b, bands, sketch) of keyed documents; empty sets have null hashes."""
+    """(_row, n_shingles, set_a, set_b, bands, parity) of keyed documents; empty sets have null hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -110,12 +115,12 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_row"), pa.array(size), pa.array(signed(total[0]), mask=empty), pa.array(signed(total[1]), mask=empty),
-                    _lists(band_hashes(values, bands)), _lists(one_bit_sketch(values)),
+                    _lists(band_hashes(values, bands)), parity_maps(hashes, offsets),
                 ],
-                ["_row", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                ["_row", "n_shingles", "set_a", "set_b", "bands", "parity"],
             )
 
-    schema = "_row long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+    schema = "_row long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>"
     return docs.select("_row", "text").mapInArrow(run, schema)
 
 
@@ -150,26 +155,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _allowed_bits(bins: int, percent: int) -> int:
-    differ = (1 - percent / 100) / 2
-    return math.ceil(bins * differ + 6.5 * math.sqrt(bins * differ * (1 - differ)))
+def _may_link(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
+    """Whether the parity maps leave it open that two sets reach the threshold (never false for sets that do)."""
+    allowed = (F.col(nx) + F.col(ny)) * (100 - percent) / (100 + percent)
+    n = F.least(F.size(x), F.size(y))
+
+    def folded(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, 1, n), F.slice(name, n + 1, n), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(name) > n, halves).otherwise(F.col(name))
+
+    differing = F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    close = (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.greatest(F.size(x), F.size(y)) <= n * 2)
+    return close & (F.aggregate(differing, F.lit(0), lambda total, d: total + d) <= allowed)
 
 
-def _completion(members: DataFrame, labels: DataFrame, sketches: DataFrame, bins: int, percent: int) -> DataFrame:
+def _completion(members: DataFrame, labels: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs inside buckets that hold more than one component, beyond the stars."""
     known = members.join(labels, members["row"] == labels["node"], "left")
     marked = staged(known.select("bucket", "row", "centre", F.coalesce("label", "row").alias("label")))
     sizes = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("labels > 1")
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
-    unresolved = staged(marked.join(mixed.select("bucket", "main"), "bucket").join(sketches, "row"))
+    unresolved = staged(marked.join(mixed.select("bucket", "main"), "bucket").join(heads.select("row", "n", "parity"), "row"))
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    outside = unresolved.filter("label <> main").select("bucket", every, F.col("row").alias("x"), F.col("label").alias("lx"), F.col("sketch").alias("sx"))
-    inside = unresolved.select("bucket", salt.cast("int").alias("salt"), F.col("row").alias("y"), F.col("label").alias("ly"), "main", "centre", F.col("sketch").alias("sy"))
-    differing = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(-(-bins // 64))), F.lit(0))
+    outside = unresolved.filter("label <> main").select("bucket", every, F.col("row").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("parity").alias("px"))
+    inside = unresolved.select("bucket", salt.cast("int").alias("salt"), F.col("row").alias("y"), F.col("label").alias("ly"), "main", "centre", F.col("n").alias("ny"), F.col("parity").alias("py"))
     once = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
     untested = (F.col("x") != F.col("centre")) & (F.col("y") != F.col("centre"))
-    joined = outside.join(inside, ["bucket", "salt"]).filter((F.col("lx") != F.col("ly")) & once & untested & (differing <= _allowed_bits(bins, percent)))
+    joined = outside.join(inside, ["bucket", "salt"]).filter((F.col("lx") != F.col("ly")) & once & untested & _may_link("px", "py", "nx", "ny", percent))
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -184,7 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = marks.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = staged(sets)
     heads = marks.join(firsts.select(F.col("first").alias("_row")), "_row", "left_semi")
-    heads = staged(heads.select(F.col("_row").alias("row"), "bands", "sketch"))
+    heads = staged(heads.select(F.col("_row").alias("row"), F.col("n_shingles").alias("n"), "bands", "parity"))
 
     buckets = heads.select("row", F.explode("bands").alias("bucket"))
     stars = staged(buckets.groupBy("bucket").agg(F.min("row").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -192,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     pairs = members.filter("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
     links = staged(confirmed(pairs, texts, k, percent))
     labels = components(links)
-    extra = staged(confirmed(_completion(members, labels, heads.select("row", "sketch"), bands * rows, percent), texts, k, percent))
+    extra = staged(confirmed(_completion(members, labels, heads, percent), texts, k, percent))
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
 

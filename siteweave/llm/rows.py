@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteweave.session import staged
 
-HOT_SHARE = 5_000  # a key with more than 1/5000 of the rows is hot, so there are fewer than 5,000 hot keys
+HOT_SHARE = 5_000  # a key with 1/5000 of the rows or more is hot, so there are at most 5,000 hot keys
 
 
 def numbered(df: DataFrame, order: list, number: str) -> DataFrame:
@@ -42,13 +42,13 @@ def keyed(docs: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 def hot_rows(total: int) -> int:
-    return max(1_000, math.ceil(total / HOT_SHARE))
+    return max(20, math.ceil(total / HOT_SHARE))
 
 
 def answer_join(fact: DataFrame, answers: DataFrame, key: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join ``fact`` with ``answers``, which has one row per key and, in ``size``, how many fact rows have it.
 
-    Answers of hot keys are broadcast (fewer than ``HOT_SHARE`` rows whatever the input), so hot keys never
+    Answers of hot keys are broadcast (at most ``HOT_SHARE`` rows whatever the input), so hot keys never
     meet in one task; all others go through the shuffle join.  Both branches read ``fact``: give a written
     or cheap one.  ``how`` is inner or left.
     """

@@ -67,15 +67,14 @@ def fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def block_values(radius: int) -> Column:
-    """The ``radius + 1`` blocks of a 128-bit fingerprint, as one array of structs (block, value)."""
-    bounds = [round(i * 128 / (radius + 1)) for i in range(radius + 2)]
+    """The ``radius + 1`` blocks of a 128-bit fingerprint, none across its two words, as an array of (block, value)."""
+    half = (radius + 2) // 2
     parts = []
-    for block, (start, end) in enumerate(zip(bounds, bounds[1:])):
-        bits = []
-        for b in range(start, end):
-            word = F.col("f0") if b < 64 else F.col("f1")
-            bits.append(F.shiftleft(F.shiftrightunsigned(word, b % 64).bitwiseAND(F.lit(1)), b - start))
-        parts.append(F.struct(F.lit(block).alias("block"), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("value")))
+    for word, blocks in (("f0", half), ("f1", radius + 1 - half)):
+        bounds = [round(i * 64 / blocks) for i in range(blocks + 1)]
+        for start, end in zip(bounds, bounds[1:]):
+            value = F.shiftrightunsigned(word, start).bitwiseAND(F.lit((1 << (end - start)) - 1).cast("long"))
+            parts.append(F.struct(F.lit(len(parts)).alias("block"), value.alias("value")))
     return F.array(*parts)
 
 
@@ -84,10 +83,22 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _short(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Matches of items of ``n`` words, fewer than a shingle: such an item is one shingle and matches its equals only."""
+    hashed = texts.select("_row", F.transform(words("text"), lambda x: F.xxhash64(x)).alias("w")).filter(F.size("w") >= n)
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)))
+    spread = hashed.select("_row", F.posexplode(each).alias("place", "h"))
+    wanted = items.filter(F.col("n_words") == n).select("item_id", "item", F.col("sh")[0].alias("h"))
+    first = spread.join(wanted, "h").groupBy("_row", "item", "item_id").agg(F.min("place").alias("start_word"))
+    return first.select("_row", "item_id", "start_word", F.lit(n).alias("n_words"), F.lit(1.0).alias("similarity"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """(_row, doc_id, item_id, start_word, n_words, similarity): the best window of every matching document and item."""
+    """(_row, item_id, start_word, n_words, similarity): the best window of every matching document and item."""
     texts = docs if "_row" in docs.columns else keyed(docs, "text")
     items = staged(shingles_of(benchmark.select("item_id", "text"), ["item_id"], k).filter("n_words > 0").withColumn("item", F.monotonically_increasing_id()))
+    short = [r["n_words"] for r in items.filter(F.col("n_words") < k).select("n_words").distinct().collect()]  # fewer than k numbers
+    small, items = items, items.filter(F.col("n_words") >= k)
     by_shingle = staged(items.select("n_words", F.explode("sh").alias("h"), F.size("sh").alias("size")).distinct())
     n_shingles = by_shingle.count()
 
@@ -108,8 +119,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     )
     windows = staged(windows)
     keys = ["_row", "start", "n_words"]
-    prints = fingerprints(windows.select(*keys, F.size("ws").alias("size"), F.explode("ws").alias("h")), keys)
-    item_prints = fingerprints(items.select("item", "n_words", F.size("sh").alias("size"), F.explode("sh").alias("h")), ["item", "n_words"])
+    # written, so that the long expressions of the bits are not repeated in every block
+    prints = staged(fingerprints(windows.select(*keys, F.size("ws").alias("size"), F.explode("ws").alias("h")), keys))
+    item_prints = staged(fingerprints(items.select("item", "n_words", F.size("sh").alias("size"), F.explode("sh").alias("h")), ["item", "n_words"]))
     item_blocks = staged(item_prints.select("item", "n_words", F.col("f0").alias("i0"), F.col("f1").alias("i1"), F.explode(block_values(radius)).alias("b")).select("item", "n_words", "i0", "i1", "b.*"))
 
     blocks = prints.select(*keys, "f0", "f1", F.explode(block_values(radius)).alias("b")).select(*keys, "f0", "f1", "b.*")
@@ -126,7 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     union = F.col("a") + F.col("b") - F.col("common")
     alike = exact.filter(F.col("common") * 100 >= union * percent).select("_row", "item", "item_id", "start", "n_words", (F.col("common") / union).alias("similarity"))
     best = alike.groupBy("_row", "item", "item_id").agg(F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
-    return best.select("_row", "item_id", F.col("w.start").alias("start_word"), F.col("w.n_words").alias("n_words"), F.col("w.similarity").alias("similarity"))
+    found = best.select("_row", "item_id", F.col("w.start").alias("start_word"), F.col("w.n_words").alias("n_words"), F.col("w.similarity").alias("similarity"))
+    for n in short:
+        found = found.unionByName(_short(texts, small, n))
+    return found
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

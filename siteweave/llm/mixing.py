@@ -8,7 +8,8 @@ than the table; a bracket keeps each step inside the interval that must hold the
 
 Rates become copies in blocks of about ``BLOCK_ROWS`` documents of one source, so a hot source is spread over tasks.  Within
 a block, documents go from large to small and each takes the floor or the ceiling of its rate, whichever keeps the
-words taken nearer to the sum of rates times sizes; a block ends within about half its smallest document of that sum.
+words taken nearer to the sum of rates times sizes.  What is left over then moves single documents by one copy, from
+large to small again, wherever that comes nearer to the sum.
 
 Defined cases: null, empty and blank texts have size 0 and take nothing; a null source is a source of its own, last in
 order; a source of size 0 has target 0; repeated rows and null ids are documents of their own; ties in size go by
@@ -105,7 +106,7 @@ def multipliers(counts: DataFrame, sources: DataFrame, most: int = MOST) -> Data
 
 
 def rounded(rates: DataFrame, most: int = MOST) -> DataFrame:
-    """Rows (_row, _rank, _block, size, rate, ...) with ``copies``: the floor or ceiling of the rate."""
+    """Rows (_row, _rank, _block, size, rate, ...) with ``copies``: whole numbers near the rates whose words sum up alike."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "_mix", "_row"], ascending=[False, True, True], kind="stable")
@@ -116,6 +117,11 @@ def rounded(rates: DataFrame, most: int = MOST) -> DataFrame:
             more = owed * 2 >= size and rate > least
             copies.append(least + more)
             owed -= size * more
+        for i, size in enumerate(block["size"].tolist()):  # what is left over goes to the first documents it fits
+            step = 1 if owed > 0 else -1
+            if size and abs(owed) * 2 > size and 0 <= copies[i] + step <= most:
+                copies[i] += step
+                owed -= size * step
         return block.assign(copies=np.array(copies, np.int64))[["_row", "doc_id", "size", "source_size", "target", "copies"]]
 
     schema = "_row long, doc_id long, size long, source_size long, target double, copies long"

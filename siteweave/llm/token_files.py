@@ -78,7 +78,7 @@ class SequenceWriter:
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-MANIFEST = "part int, tokens string, documents string, n_documents long, n_tokens long"
+MANIFEST = "part long, tokens string, documents string, n_documents long, n_tokens long"
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:

@@ -20,8 +20,6 @@ shingle; items with equal text are reported separately; repeated rows and null i
 similar windows the first is reported; empty tables give an empty result; other columns are not looked at.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +30,7 @@ SHINGLE = 5
 PERCENT = 80
 RADIUS = 40
 BROADCAST_ROWS = 2_000_000  # most benchmark shingles or blocks that are broadcast (two or three numbers each)
+SEEDS = (625079441, 1812991333)  # of the two words of a fingerprint
 _FIELDS = 0x0000000100000001
 
 
@@ -50,20 +49,16 @@ def shingles_of(docs: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
     """SimHash (``f0``, ``f1``) of the rows (keys, h, size) of each key; ``size`` is their number."""
-    seeds = (0x2545F491, 0x6C078965)
-    hashed = shingles.select(*keys, "size", *[F.xxhash64("h", F.lit(seed)).alias(f"g{s}") for s, seed in enumerate(seeds)])
-    votes = [F.sum(F.shiftrightunsigned(f"g{s}", i).bitwiseAND(F.lit(_FIELDS))).alias(f"v{s}_{i}") for s in range(2) for i in range(32)]
+    hashed = shingles.selectExpr(*keys, "size", *[f"xxhash64(h, {seed}) g{s}" for s, seed in enumerate(SEEDS)])
+    votes = [F.expr(f"sum(shiftrightunsigned(g{s}, {i}) & {_FIELDS}L) v{s}_{i}") for s in range(2) for i in range(32)]
     summed = hashed.groupBy(*keys).agg(F.max("size").alias("size"), *votes)
 
-    def bit(field: Column) -> Column:
-        return (field * 2 > F.col("size")).cast("long")
-
-    def packed(s: int) -> Column:
-        low = [F.shiftleft(bit(F.col(f"v{s}_{i}").bitwiseAND(F.lit(0xFFFFFFFF))), i) for i in range(32)]
-        high = [F.shiftleft(bit(F.shiftrightunsigned(f"v{s}_{i}", 32)), i + 32) for i in range(32)]
-        return reduce(lambda a, b: a.bitwiseOR(b), low + high)
+    def packed(s: int) -> str:
+        low = [f"if((v{s}_{i} & 4294967295L) * 2 > size, {1 << i}L, 0L)" for i in range(32)]
+        high = [f"if(shiftrightunsigned(v{s}_{i}, 32) * 2 > size, shiftleft(1L, {i + 32}), 0L)" for i in range(32)]
+        return " | ".join(low + high)
 
-    return summed.select(*keys, packed(0).alias("f0"), packed(1).alias("f1"))
+    return summed.selectExpr(*keys, *[f"{packed(s)} f{s}" for s in range(2)])
 
 
 def block_values(radius: int) -> Column:
@@ -73,9 +68,8 @@ def block_values(radius: int) -> Column:
     for word, blocks in (("f0", half), ("f1", radius + 1 - half)):
         bounds = [round(i * 64 / blocks) for i in range(blocks + 1)]
         for start, end in zip(bounds, bounds[1:]):
-            value = F.shiftrightunsigned(word, start).bitwiseAND(F.lit((1 << (end - start)) - 1).cast("long"))
-            parts.append(F.struct(F.lit(len(parts)).alias("block"), value.alias("value")))
-    return F.array(*parts)
+            parts.append(f"named_struct('block', {len(parts)}, 'value', shiftrightunsigned({word}, {start}) & {(1 << (end - start)) - 1}L)")
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:

@@ -303,7 +303,7 @@ def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
             found = own.log_probability(texts, shared.value) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(found)], ["word", "c", "score"])
 
-    answers = listed.select("slice", "word", "number").join(words.mapInArrow(score, "word string, c long, score double"), "word").select("slice", "number", "c", "score")
+    answers = listed.select("slice", "word", "number").join(words.mapInArrow(score, "word string, c long, score double"), "word").select(F.col("slice").alias("of"), "number", "c", "score")
 
     def add(documents: pa.Table, known: pa.Table) -> pa.Table:
         size = known.num_rows
@@ -324,7 +324,7 @@ def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
 
     documents = table.filter("word is null").select("slice", "ids", "held", "sizes", "tokens")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return documents.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(add, schema)
+    return documents.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(add, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

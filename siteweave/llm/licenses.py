@@ -116,7 +116,7 @@ def _sentences(text: Column) -> Column:
             found = found | s.contains(cue)
         return found
 
-    plain = F.transform(F.filter(F.split(text, BREAK), cued), lambda s: F.rtrim(F.lit(". "), F.trim(F.regexp_replace(s, STRANGE, " "))))
+    plain = F.transform(F.filter(F.split(text, BREAK), cued), lambda s: F.rtrim(F.trim(F.regexp_replace(s, STRANGE, " ")), F.lit(". ")))
     return F.filter(plain, lambda s: s != "")
 
 

@@ -1,12 +1,15 @@
 """Subword lattice language model: the marginal probability of a text over all its segmentations.
 
 The pieces and their first scores come from an existing public vocabulary.  A word, written with the blank before it, can be
-cut into pieces in many ways; its probability is the sum over all of them of the product of the pieces' probabilities, by
-the forward recursion in log space.  A text is its words and one end piece.  Every single byte is a piece, so every
-text has a probability.
+cut into pieces in many ways; its lattice probability is the sum over all of them of the product of the pieces'
+probabilities, by the forward recursion in log space.  A blank starts a new word, so the lattice probabilities of all
+words sum to one.  Every single byte is a piece, so every word has a probability.
 
 Learning: the vocabulary's scores are ranks, so they give a starting distribution (1 / rank).  ``ROUNDS`` rounds of
 expectation maximisation over all different training words, weighted by their counts, give the piece probabilities.
+Words of the training texts also are arcs of their own from end to end of the lattice: their counts, less ``DISCOUNT``
+each, are their share, and all that is discounted goes to the lattice.  So a token's probability is
+``max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * lattice``, and a text's is the product over its words and its end.
 
 How it runs: documents are read once, in slices.  A slice gives one row with the word numbers of its documents and one
 row per different word.  Counts are summed per word, so the recursion runs once per different word of the corpus, not
@@ -38,6 +41,7 @@ SLICE = 16 << 20        # bytes of text whose words are numbered together
 VECTOR = 64             # longest word (bytes) that is handled together with others
 WORDS_AT_ONCE = 20_000
 SMOOTHING = 0.1         # added to every piece's expected count
+DISCOUNT = 0.75         # of a training word's count, given to the lattice
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,7 +72,6 @@ class Vocabulary:
         self.hashes, self.numbers = hashes[order], order
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have the same hash")
-        # a table over the first bits of the hash replaces most of the search
         self.lengths = np.bincount([len(p) for p in self.pieces], minlength=self.widest + 1)
 
     @staticmethod
@@ -258,11 +261,10 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def learn(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces, and of the end piece, from (word, c) with ``ends`` training texts."""
+def learn(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces, from the counts (word, c) of the training texts."""
     known = vocabulary(path)
-    share = ends / max(1.0, float(words.agg(F.sum("c")).first()[0] or 0) + ends)  # the end's share among words, to start with
-    scores, end = np.log(known.start / known.start.sum() * (1 - max(share, 1e-6))), math.log(max(share, 1e-6))
+    scores = np.log(known.start / known.start.sum())
     for _ in range(rounds):
         shared = words.sparkSession.sparkContext.broadcast(scores)  # one number per piece of the vocabulary
 
@@ -278,9 +280,20 @@ def learn(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple
         found = words.filter("c > 0").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()  # at most one row per piece
         uses = np.full(len(known.pieces), SMOOTHING)
         uses[found["piece"].to_numpy(np.int64)] += found["uses"].to_numpy(float)
-        whole = uses.sum() + ends + SMOOTHING
-        scores, end = np.log(uses / whole), math.log((ends + SMOOTHING) / whole)
-    return scores, end
+        scores = np.log(uses / uses.sum())
+    return scores
+
+
+def token_score(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 probability of tokens with training count ``c`` and log lattice probability; ``n`` and ``v``: all and distinct training tokens.
+
+    Without training tokens, words and the end share the probability equally.
+    """
+    if not n:
+        return (lattice - math.log(2)) / math.log(10)
+    with np.errstate(divide="ignore"):
+        own = np.log(np.maximum(c - DISCOUNT, 0) / n)
+    return np.logaddexp(own, math.log(DISCOUNT * v / n) + lattice) / math.log(10)
 
 
 def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -293,14 +306,15 @@ def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
     ends = docs.select("doc_id").filter(~held_out()).count()
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(sums["n"] or 0) + ends, int(sums["v"]) + (ends > 0)
-    pieces, end = learn(words, ends, path, rounds)
+    pieces = learn(words, path, rounds)
+    end = math.log10(max(ends - DISCOUNT, 0.25) / n) if n else math.log10(0.5)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
             texts = [b" " + t for t in batch.column("word").cast(pa.binary()).to_pylist()]
-            found = own.log_probability(texts, shared.value) / math.log(10)
+            found = token_score(longs(batch.column("c")), own.log_probability(texts, shared.value), n, v)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(found)], ["word", "c", "score"])
 
     answers = listed.select("slice", "word", "number").join(words.mapInArrow(score, "word string, c long, score double"), "word").select(F.col("slice").alias("of"), "number", "c", "score")
@@ -319,7 +333,7 @@ def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
         return pa.table({
             "doc_id": pa.array(ids, mask=ids == np.iinfo(np.int64).min), "held_out": pa.array(held), "n_tokens": pa.array(sizes + 1),
             "n_known": pa.array(total[2].astype(np.int64) + (ends > 0)), "train_tokens": pa.array(np.full(len(ids), n)),
-            "base_score": pa.array(total[0] + math.log10((ends + 1) / (n + v + 1))), "score": pa.array(total[1] + end / math.log(10)),
+            "base_score": pa.array(total[0] + math.log10((ends + 1) / (n + v + 1))), "score": pa.array(total[1] + end),
         })
 
     documents = table.filter("word is null").select("slice", "ids", "held", "sizes", "tokens")

@@ -1,11 +1,14 @@
 """Join and numbering helpers that hold up when one key owns a large share of the rows."""
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256          # most keys that get the broadcast path; bounds what is broadcast
-HOT_ROWS = 1_000_000    # rows from which a key is worth that path
-SALTS = 1024
+HOT_KEYS = 10_000       # most keys that are split; any other key has less than 1/10,000 of the rows
+HOT_ROWS = 1_000_000    # rows from which a key is worth splitting
+SALTS = 64
 BLOCK_ROWS = 100_000    # positions per numbering block
 
 
@@ -24,23 +27,20 @@ def lookup_join(
 ) -> DataFrame:
     """Left join to a table with one row per key, safe for hot keys on the fact side.
 
-    Rows of the hottest keys take their answer from a broadcast of at most ``HOT_KEYS`` rows.  They then
-    pass the shuffle join under a salt that cannot match, so they spread over all partitions; every other
-    row joins there as usual.  Nothing is dropped.
+    Rows of a hot key carry one of ``SALTS`` salts, taken from ``spread_by``, and its answer is there once per
+    salt; so do rows with a null key, which match nothing.  Hot keys without an answer are spread alike.  All other
+    rows and answers have salt 0.  The salt is data on both sides, so it takes part in the partitioning.  Only the
+    hot keys, not their answers, are broadcast.
     """
     values = [c for c in answers.columns if c not in keys]
-    hot = answers.join(F.broadcast(hot_keys(fact, keys, min_rows)), keys, "left_semi").limit(HOT_KEYS)
-    hot = hot.select(*keys, F.struct(*values).alias("_hot"))
-    marked = fact.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int") + 1
-        ),
-    )
-    cold = answers.select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
-    found = F.coalesce("_hot", "_cold")
-    joined = marked.join(cold, [*keys, "_salt"], "left")
-    return joined.select(*fact.columns, *[found[v].alias(v) for v in values])
+    hot = hot_keys(fact.select(*keys), keys, min_rows).withColumn("_hot", F.lit(True))
+    marked = fact.join(F.broadcast(hot), keys, "left")
+    missing = reduce(or_, [F.col(k).isNull() for k in keys])
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int") + 1
+    salted = marked.withColumn("_salt", F.when(F.col("_hot") | missing, spread).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    copies = answers.join(F.broadcast(hot), keys, "left").select(*keys, *values, F.explode(every).alias("_salt"))
+    return salted.join(copies, [*keys, "_salt"], "left").select(*fact.columns, *values)
 
 
 def without(fact: DataFrame, known: DataFrame, key: str, spread_by: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
@@ -61,20 +61,23 @@ def number_rows(
 
     A window over a whole group would put it into one task.  Positions are page order, unique within
     their group, so blocks of ``block_rows`` positions are bounded: rows are numbered inside a block, and
-    the rows of the blocks before (one row per block) are added.
+    the rows of the blocks before (one row per block) are added.  Rows without a position come last in their
+    group, in the order of a hash of all their columns; a null group is a group of its own.
     """
     groups = groups or []
     blocked = df.withColumn("_block", F.floor(F.col(position) / block_rows))
     block_keys = [*groups, "_block"]
     sizes = blocked.groupBy(*block_keys).agg(F.count(F.lit(1)).alias("_size"))
     whole = Window.partitionBy(F.lit(0)) if order is not None else Window.partitionBy(*groups or [F.lit(0)])
-    sequence = [order, *block_keys] if order is not None else ["_block"]
+    last = F.col("_block").asc_nulls_last()
+    sequence = [order, *groups, last] if order is not None else [last]
     before = F.coalesce(F.sum("_size").over(whole.orderBy(*sequence).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*block_keys, before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*block_keys).orderBy(position))
+    offsets = sizes.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(block_keys)], before.alias("_before"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(block_keys)])
+    inside = F.row_number().over(Window.partitionBy(*block_keys).orderBy(F.col(position), F.xxhash64(*df.columns)))
     return (
         blocked.withColumn("_inside", inside)
-        .join(offsets, block_keys)
+        .join(offsets, same)
         .withColumn(number, F.col("_before") + F.col("_inside"))
         .select(*df.columns, number)
     )

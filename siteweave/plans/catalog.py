@@ -77,7 +77,7 @@ def earlier(spark: SparkSession, sf: str, listing: DataFrame) -> DataFrame:
     return listing.join(labels, "pos").select(
         "url", "name", "page_type",
         F.when(F.col("quality") == 1, F.lit("done")).otherwise(F.lit("failed")).alias("status"),
-        F.col("pos").alias("batch"),
+        F.col("pos").cast("string").alias("batch"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pos")).alias("updated_at"),
     )
 
@@ -874,7 +874,7 @@ def export_all(spark, sf):
     keys = {"sites": "id", "subLocations": "siteId", "cards": "subLocationId", "tips": "siteId", "arabicPhrases": "siteId"}
     rows = None
     for name, df in parts.items():
-        part = df.groupBy(F.substring(keys[name], 1, 8).alias("site")).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+        part = df.groupBy(F.substring_index(keys[name], "_sub_", 1).alias("site")).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 

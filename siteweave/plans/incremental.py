@@ -1,10 +1,14 @@
 """Dry runs and resumable runs."""
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave import lexicons as L
 from siteweave import schemas as S
+from siteweave.functions import text as T
 from siteweave.operators import metrics
 from siteweave.operators.joins import HOT_ROWS, lookup_join, number_rows, without
 from siteweave.plans import export, research
@@ -12,7 +16,11 @@ from siteweave.plans.research import Crawl
 from siteweave.session import local_table, staged
 from siteweave.sources import tables
 
-TYPES = len(L.PAGE_TYPES)
+
+def page_types_of(listing: DataFrame) -> list[str]:
+    """The known page types in their order, then any others that the listing has (names of types, not rows)."""
+    found = {row["page_type"] for row in listing.select("page_type").distinct().collect()}
+    return [*L.PAGE_TYPES, *sorted(t for t in found if t is not None and t not in L.PAGE_TYPES)]
 
 
 def dry_run_rows(listing: DataFrame, existing: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -42,8 +50,8 @@ def dry_run(
 
 
 def pending_types(listing: DataFrame, completed: DataFrame) -> DataFrame:
-    """Listing rows of page types that are not finished (at most four names to compare with)."""
-    return listing.join(F.broadcast(completed.select("page_type").distinct().limit(TYPES)), "page_type", "left_anti")
+    """Listing rows of page types that are not finished."""
+    return listing.join(completed.select("page_type").distinct(), "page_type", "left_anti")
 
 
 def pending_sites(
@@ -71,7 +79,7 @@ def pending_by_type(listing: DataFrame, processed: DataFrame, min_rows: int = HO
     """
     done = processed.select("url", "name")
     kept = []
-    for page_type in L.PAGE_TYPES:
+    for page_type in page_types_of(listing):
         rows = staged(pending_sites(listing.filter(F.col("page_type") == page_type), done, None, min_rows))
         done = done.unionByName(rows.select("url", "name"))
         kept.append(rows)
@@ -88,11 +96,12 @@ def changed_pages(pages: DataFrame, known_hashes: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Folders of a resumable run: progress, finished types, and the export.
+    """Folders of a resumable run: progress, finished types, the export, and the list of published batches.
 
-    Every type of every run has a batch number, and all of its output goes to folders of that number.
-    A repeated batch (after a lost driver, or a replayed stream batch) overwrites its own folders only,
-    so nothing is doubled.
+    Every type of every run is a batch with an id of its own, and all of its output goes to folders of that id.  A
+    batch counts, for progress and export alike, once its id is in the list, which is written last.  What a lost
+    driver leaves behind is therefore ignored, and its rows are pending again; a replayed stream batch has the id it
+    had before and replaces its own folders.  Ids are never used for anything else, so nothing is overwritten.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -102,45 +111,55 @@ class Store:
     def output(self) -> str:
         return f"{self.path}/output"
 
-    def processed(self, before: int | None = None, retry_failed: bool = False) -> DataFrame:
-        rows = tables.processed(self.spark, f"{self.path}/processed")
-        if before is not None:
-            rows = rows.filter(F.col("batch") < before)
+    def published(self, without: str | None = None) -> DataFrame:
+        """Ids of the batches that count, but for ``without``."""
+        rows = tables.or_none(lambda: self.spark.read.schema("batch STRING").parquet(f"{self.path}/batches"))
+        rows = local_table(self.spark, [], "batch STRING") if rows is None else rows.distinct()
+        return rows if without is None else rows.filter(F.col("batch") != without)
+
+    def processed(self, without: str | None = None, retry_failed: bool = False) -> DataFrame:
+        rows = tables.processed(self.spark, f"{self.path}/processed").join(self.published(without), "batch", "left_semi")
         return rows.filter("status <> 'failed'") if retry_failed else rows
 
     def completed(self) -> DataFrame:
         return tables.completed_types(self.spark, f"{self.path}/completed")
 
-    def existing(self) -> DataFrame:
-        return tables.existing_names(self.spark, self.output)
+    def existing(self, without: str | None = None) -> DataFrame:
+        """Distinct site names of the export."""
+        names = self.output_table("sites", "name STRING", without)
+        names = local_table(self.spark, [], "name STRING") if names is None else names.select("name")
+        return names.filter("name <> ''").distinct()
 
-    def output_table(self, name: str, schema: str) -> DataFrame | None:
-        return tables.or_none(lambda: self.spark.read.schema(f"{schema}, batch LONG").json(f"{self.output}/{name}"))
+    def output_table(self, name: str, schema: str, without: str | None = None) -> DataFrame | None:
+        """A table of the export, published batches only."""
+        rows = tables.or_none(lambda: self.spark.read.schema(f"{schema}, batch STRING").json(f"{self.output}/{name}"))
+        return None if rows is None else rows.join(self.published(without), "batch", "left_semi")
 
-    def last_number(self, before: int) -> int:
-        """Highest site number given by earlier batches."""
-        sites = self.output_table("sites", "id STRING")
+    def last_number(self, without: str | None = None) -> int:
+        """Highest site number of the export."""
+        sites = self.output_table("sites", "id STRING", without)
         if sites is None:
             return 0
         number = F.substring("id", len("site_") + 1, 20).cast("long")
-        return sites.filter(F.col("batch") < before).agg(F.max(number)).first()[0] or 0
+        return sites.agg(F.max(number)).first()[0] or 0
 
-    def next_run(self) -> int:
-        last = self.processed().agg(F.max("batch")).first()[0]
-        return 0 if last is None else last // TYPES + 1
-
-    def save(self, site: DataFrame, progress: DataFrame, batch: int) -> None:
+    def save(self, site: DataFrame, progress: DataFrame, batch: str) -> None:
+        """Write the batch's export and progress, then publish it."""
         parts = export.tables(staged(site))
         for name, df in parts.items():
             df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{self.output}/{name}/batch={batch}")
         progress.write.mode("overwrite").parquet(f"{self.path}/processed/batch={batch}")
+        self.publish(batch)
+
+    def publish(self, batch: str) -> None:
+        tables.append(local_table(self.spark, [(batch,)], "batch STRING"), f"{self.path}/batches")
 
     def complete(self, page_type: str) -> None:
         row = local_table(self.spark, [(page_type,)], "page_type STRING")
         tables.append(row.withColumn("updated_at", F.current_timestamp()), f"{self.path}/completed")
 
     def clear(self) -> None:
-        """Forget progress and finished types; the export stays."""
+        """Forget progress and finished types; the export stays, and numbers go on from it."""
         tables.reset(self.spark, f"{self.path}/processed", partition="batch")
         tables.reset(self.spark, f"{self.path}/completed", S.COMPLETED_TYPE)
 
@@ -153,31 +172,33 @@ def run(
     skip_existing: bool = False,
     retry_failed: bool = False,
     mark_completed: bool = True,
-    run_number: int | None = None,
+    run_id: str | None = None,
     **options,
 ) -> None:
     """Research what is new and add it to the store, one page type after the other.
 
     Site ids go on from the stored maximum.  A site without a page is recorded as failed; it is tried
-    again only on request.
+    again only on request.  ``run_id`` must be given only to replace an earlier run of that id.
     """
-    number = store.next_run() if run_number is None else run_number
-    finished = store.completed().select("page_type").limit(TYPES).collect()  # at most four names
-    skipped = {row["page_type"] for row in finished}
-    existing = store.existing() if skip_existing else None
-    for rank, page_type in enumerate(page_types or L.PAGE_TYPES):
+    name = run_id or uuid.uuid4().hex
+    skipped = {row["page_type"] for row in store.completed().select("page_type").collect()}  # names of types
+    for rank, page_type in enumerate(page_types or page_types_of(crawl.listing)):
         if page_type in skipped:
             continue
-        batch = number * TYPES + rank
+        batch = f"{name}-{rank:03d}"
+        existing = store.existing(batch) if skip_existing else None
         rows = research.first_of_each_type(crawl.listing.filter(F.col("page_type") == page_type), max_sites)
         todo = staged(pending_sites(rows, store.processed(batch, retry_failed), existing))
         if todo.isEmpty():
             if mark_completed:
                 store.complete(page_type)
             continue
-        part = Crawl(todo, crawl.pages, crawl.articles, crawl.gazetteer, crawl.known_points, crawl.place_info)
+        # only what the batch needs is read further on
+        wanted = todo.select(F.explode(F.array("url", T.arabic_url(F.col("url")))).alias("url")).distinct()
+        pages = staged(crawl.pages.join(wanted, "url", "left_semi"))
+        part = replace(crawl, listing=todo, pages=pages)
         site = research.research_sites(part, first_number=store.last_number(batch), **options)
-        found = crawl.pages.select("url", F.lit(True).alias("_found"))
+        found = pages.select("url", F.lit(True).alias("_found")).distinct()
         progress = todo.join(found, "url", "left").select(
             "url", "name", "page_type",
             F.when(F.col("_found"), F.lit("done")).otherwise(F.lit("failed")).alias("status"),

@@ -1,9 +1,10 @@
 """From listing and stored crawl to one row per site."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from siteweave import lexicons as L
 from siteweave.functions import extract as X
@@ -30,9 +31,28 @@ class Crawl:
     place_info: DataFrame | None = None
 
 
-def type_rank(page_types: list[str] = L.PAGE_TYPES) -> Column:
-    """Position of a row's page type in the run's order."""
-    return F.array_position(F.array(*[F.lit(t) for t in page_types]), F.col("page_type"))
+def type_rank(page_types: list[str] | None = None) -> Column:
+    """Position of a row's page type in the run's order; types that the order leaves out come last."""
+    order = page_types or L.PAGE_TYPES
+    place = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("page_type"))
+    return F.when(place > 0, place).otherwise(len(order) + 1)
+
+
+def one_per(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: the least by all other columns, nulls last (a snapshot may hold a row twice)."""
+    others = [c for c in rows.columns if c not in keys]
+    order = F.struct(*[F.struct(F.col(c).isNull(), F.to_json(c) if isinstance(rows.schema[c].dataType, MapType) else F.col(c)) for c in others])
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row")).select(*keys, "_row.*")
+
+
+def snapshot(crawl: "Crawl") -> "Crawl":
+    """The inputs with one row per page, article and answer, and blank instead of null listing texts."""
+    blank = {c: "" for c in ("name", "location", "description", "image")}
+    return replace(
+        crawl, listing=crawl.listing.fillna(blank), pages=one_per(crawl.pages, "url"), articles=one_per(crawl.articles, "lang", "title"),
+        gazetteer=one_per(crawl.gazetteer, "query", "rank"),
+        place_info=None if crawl.place_info is None else one_per(crawl.place_info, "name"),
+    )
 
 
 def first_of_each_type(listing: DataFrame, max_sites: int | None) -> DataFrame:
@@ -107,10 +127,10 @@ def with_coordinates(rows: DataFrame, gazetteer: DataFrame, min_rows: int = HOT_
     return lookup_join(rows, answers, ["heading"], ["url"], min_rows)
 
 
-def numbered(listing: DataFrame, pages: DataFrame, first_number: int = 0) -> DataFrame:
-    """Listing rows that have a page, numbered over all types in order, with their site id."""
+def numbered(listing: DataFrame, pages: DataFrame, first_number: int = 0, page_types: list[str] | None = None) -> DataFrame:
+    """Listing rows that have a page, numbered over all types in the order given, with their site id."""
     kept = listing.join(pages.select("url"), "url", "left_semi")
-    rows = number_rows(kept, "pos", "site_number", groups=["page_type"], order=type_rank())
+    rows = number_rows(kept, "pos", "site_number", groups=["page_type"], order=type_rank(page_types))
     return rows.withColumn("id", T.site_id(F.col("site_number") + first_number)).drop("site_number")
 
 
@@ -144,18 +164,21 @@ def dossiers(names: DataFrame, crawl: Crawl, dictionary: DataFrame, **match_opti
     return rows
 
 
-def research_sites(crawl: Crawl, first_number: int = 0, min_rows: int = HOT_ROWS, **match_options) -> DataFrame:
+def research_sites(
+    crawl: Crawl, first_number: int = 0, min_rows: int = HOT_ROWS, page_types: list[str] | None = None, **match_options
+) -> DataFrame:
     """One complete row per listed site that has a page (plus its ``page_type`` and ``url``).
 
     Page texts and dossiers are written once and read by every later step.  Lookups by name or
     coordinates run on distinct keys and come back through the hot-key-safe join.
     """
-    listing = numbered(crawl.listing, crawl.pages, first_number)
+    crawl = snapshot(crawl)
+    listing = staged(numbered(crawl.listing, crawl.pages, first_number, page_types))
     rows = staged(page_rows(listing, crawl.pages))
     dictionary = tables.dictionary(rows.sparkSession, M.article_pairs(crawl.articles))
     names = rows.select("name", "location").distinct()
     answers = staged(dossiers(names, crawl, dictionary, **match_options))
-    located = with_coordinates(rows, crawl.gazetteer, min_rows)
+    located = staged(with_coordinates(rows, crawl.gazetteer, min_rows))
     known = lookup_join(located, answers, ["name", "location"], ["url"], min_rows)
     reverse = None
     if crawl.known_points is not None:
@@ -224,6 +247,4 @@ def research_all(
 ) -> DataFrame:
     """Research the first ``max_sites`` rows of the chosen page types, ids in type and page order."""
     chosen = first_of_each_type(of_types(crawl.listing, page_types), max_sites)
-    return research_sites(
-        Crawl(chosen, crawl.pages, crawl.articles, crawl.gazetteer, crawl.known_points, crawl.place_info), **options
-    )
+    return research_sites(replace(crawl, listing=chosen), page_types=page_types, **options)

@@ -12,7 +12,7 @@ GAZETTEER = "query STRING, rank INT, lat STRING, lon STRING, address MAP<STRING,
 GAZETTEER_POINT = "place STRING, lat DOUBLE, lon DOUBLE, region STRING"
 DICTIONARY = "english STRING, arabic STRING"
 SEARCH_ANSWER = "query STRUCT<search: ARRAY<STRUCT<title: STRING, snippet: STRING>>>"
-PROCESSED = "url STRING, name STRING, page_type STRING, status STRING, batch LONG, updated_at TIMESTAMP"
+PROCESSED = "url STRING, name STRING, page_type STRING, status STRING, batch STRING, updated_at TIMESTAMP"
 COMPLETED_TYPE = "page_type STRING, updated_at TIMESTAMP"
 EXISTING_OUTPUT = "sites ARRAY<STRUCT<name: STRING>>"
 

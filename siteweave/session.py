@@ -1,6 +1,7 @@
 """Session settings and the shared work folder."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,17 +29,21 @@ def build(app: str = "siteweave", master: str | None = None, **settings: str) ->
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new sub-folder of the folder that all executors reach.
 
-    ``spark.checkpoint.dir`` names that folder.  Only a local session, where every task runs on this
-    machine, may go without it.
+    ``spark.checkpoint.dir`` names that folder.  A session whose tasks are all threads of this process may
+    go without it: one temporary folder then serves the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        root = tempfile.mkdtemp(prefix="siteweave-")
+        root = _local_roots.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="siteweave-")
+        _local_roots[spark.sparkContext.applicationId] = root
     return os.path.join(root, "siteweave-" + uuid.uuid4().hex)
 
 

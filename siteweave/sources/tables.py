@@ -54,10 +54,12 @@ def search_hits(saved: DataFrame, body: str = "body") -> DataFrame:
 
 
 def or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
-    """The scan, or None if there is nothing readable at its path."""
+    """The scan, or None if its path does not exist; any other fault is raised."""
     try:
         return read()
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -1,5 +1,8 @@
 """Listing rows as a stream: what arrives is researched once."""
 
+import hashlib
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +12,7 @@ from siteweave.plans import incremental
 from siteweave.plans.incremental import Store
 from siteweave.plans.research import Crawl
 from siteweave.session import local_table, staged
+from siteweave.sources import tables
 
 
 def listing_stream(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -22,17 +26,23 @@ def first_of_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(whole, order).alias("r")).select("r.*")
 
 
+def batch_id(spark: SparkSession, checkpoint: str, number: int) -> str:
+    """An id that a replayed batch has again and no batch of another query ever has."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha1(checkpoint.encode()).hexdigest()
+    return f"{query}-{number}"
+
+
 def research_stream(listing: DataFrame, crawl: Crawl, store: Store, checkpoint: str, **options) -> StreamingQuery:
     """Research every listing row of the stream that no earlier batch has seen, then stop.
 
     Known rows are found by anti-joins with the stored progress, by address and by name, so no state
-    grows inside the stream.  Batches write to folders of their own number, so a replay changes nothing.
+    grows inside the stream.  Batches write to folders of their own id, so a replay changes nothing.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         rows = staged(first_of_each(batch, "url"))
-        part = Crawl(rows, crawl.pages, crawl.articles, crawl.gazetteer, crawl.known_points, crawl.place_info)
-        incremental.run(part, store, mark_completed=False, run_number=number, **options)
+        name = batch_id(store.spark, checkpoint, number)
+        incremental.run(replace(crawl, listing=rows), store, mark_completed=False, run_id=name, **options)
 
     return (
         listing.writeStream.foreachBatch(handle)
@@ -50,15 +60,11 @@ def new_listing_rows(listing: DataFrame, path: str, checkpoint: str) -> Streamin
     spark = listing.sparkSession
 
     def handle(batch: DataFrame, number: int) -> None:
-        store = spark.read.schema(f"{S.LISTING}, batch LONG")
-        try:
-            seen = store.parquet(path).filter(F.col("batch") < number)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            seen = local_table(spark, [], S.LISTING)
+        name = batch_id(spark, checkpoint, number)
+        seen = tables.or_none(lambda: spark.read.schema(f"{S.LISTING}, batch STRING").parquet(path))
+        seen = local_table(spark, [], S.LISTING) if seen is None else seen.filter(F.col("batch") != name)
         rows = incremental.pending_sites(first_of_each(batch, "url"), seen)
-        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={name}")
 
     return (
         listing.writeStream.foreachBatch(handle)

@@ -23,6 +23,34 @@ def test_lookup_join_with_hot_keys(spark):
     assert {r.k for r in left.select("k").distinct().collect()} == {"k1", "k2"}
 
 
+def test_hot_and_null_keys_are_spread(spark):
+    """No partition of the join gets a hot key whole: one with an answer, one without, and null."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kind = F.col("id") % 4
+        key = F.when(kind == 0, "known").when(kind == 1, "unknown").when(kind == 2, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+        fact = spark.range(16_000).select("id", key.alias("k"))
+        answers = fact.filter("k is not null and k <> 'unknown'").select("k").distinct().withColumn("v", F.length("k"))
+        joined = lookup_join(fact, answers, ["k"], ["id"], 1000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 16_000 and max(sizes) < 2 * 16_000 / 8
+        wrong = joined.filter("not (v <=> case when k is null or k = 'unknown' then null else length(k) end)")
+        assert wrong.count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_number_rows_without_position_or_group(spark):
+    rows = [("a", 5), ("a", None), (None, 2), (None, 1), ("a", 300_000)]
+    df = spark.createDataFrame(rows, "t STRING, p LONG")
+    got = {(r.t, r.p): r.n for r in number_rows(df, "p", "n", ["t"]).collect()}
+    assert got == {("a", 5): 1, ("a", 300_000): 2, ("a", None): 3, (None, 1): 1, (None, 2): 2}
+
+
 @pytest.mark.parametrize("block_rows", [3, 7, 1000])
 def test_number_rows(spark, block_rows):
     rng = random.Random(1)
@@ -98,3 +126,22 @@ def test_forward_regions(spark):
     places = spark.createDataFrame([("A", "Luxor"), ("B", "x"), ("C", ""), ("D", ""), ("E", "")], "name STRING, location STRING")
     got = {r.name: r.region for r in RG.forward_regions(places, gazetteer).collect()}
     assert got == {"A": "Luxor", "B": "Giza", "D": "Sohag"}
+
+
+@pytest.mark.parametrize("max_km", [20.0, 200.0, None])
+def test_nearest_region_at_any_distance_and_place(spark, max_km):
+    """High latitudes, both sides of the date line, near a pole, and points far away."""
+    rng = random.Random(8)
+    known = [(f"p{i}", rng.uniform(-89, 89), rng.uniform(-180, 180), "r") for i in range(60)]
+    known += [("north", 60.0, 10.28, "n"), ("line", 10.0, -179.95, "l"), ("pole", 89.9, 100.0, "o"), ("far", 25.8, 30.0, "f")]
+    sites = [(60.0, 10.0), (10.0, 179.95), (89.9, -80.0), (25.0, 30.3), (-45.0, 170.0)] + [(rng.uniform(-89, 89), rng.uniform(-180, 180)) for _ in range(25)]
+    found = RG.nearest_regions(
+        spark.createDataFrame(sites, "lat DOUBLE, lon DOUBLE"), spark.createDataFrame([*known, ("none", None, None, "z")], "place STRING, lat DOUBLE, lon DOUBLE, region STRING"), max_km
+    )
+    got = {(r.lat, r.lon): (r.place, round(r.distance_km, 6)) for r in found.collect()}
+    wanted = {}
+    for site in sites:
+        d, place = min((km(site, k[1:3]), k[0]) for k in known)
+        if max_km is None or d <= max_km:
+            wanted[site] = (place, round(d, 6))
+    assert got == wanted

@@ -160,17 +160,71 @@ def test_incremental_runs(spark, crawl):
     assert status == {"Gem Hall": "done", "Kom el-Dikka": "done", "Karnak Temple": "done", "Lost Mound": "failed"}
     stats = metrics.checkpoint_stats(store.processed(), store.completed()).first()
     assert stats.total_processed == 4 and stats.page_types_completed == 4
-    # a repeated run number replaces its own batches, a new run has nothing left to do
+    # a new run has nothing left to do
     store.spark.createDataFrame([], S.COMPLETED_TYPE).write.mode("overwrite").parquet(f"{store.path}/completed")
-    incremental.run(crawl, store, run_number=1)
+    incremental.run(crawl, store)
     assert numbers(store) == {"Gem Hall": "site_001", "Kom el-Dikka": "site_002", "Karnak Temple": "site_003"}
     done = staged(store.processed().drop("batch"))
     store.clear()
-    assert store.processed().count() == 0 and store.completed().count() == 0 and store.next_run() == 0
-    tables.append(done.limit(1), f"{store.path}/processed/batch=0")
+    assert store.processed().count() == 0 and store.completed().count() == 0
+    tables.append(done.limit(1), f"{store.path}/processed/batch=extra")
+    assert store.processed().count() == 0  # not published
+    store.publish("extra")
+    assert store.processed().count() == 1
+    # the export stays, and a run after it adds to it under new numbers
+    incremental.run(Crawl(crawl.listing.filter("name = 'Gem Hall'"), crawl.pages, crawl.articles, crawl.gazetteer), store)
+    ids = sorted(r.id for r in store.output_table("sites", "id STRING").collect())
+    assert ids == ["site_001", "site_002", "site_003"] + (["site_004"] if done.first()["name"] != "Gem Hall" else [])
+
+
+@pytest.mark.parametrize("lost_at", ["processed", "publish"])
+def test_a_lost_driver_leaves_no_trace(spark, crawl, monkeypatch, lost_at):
+    """The driver dies after the export, or after export and progress; the next run gives each site once."""
+    store = incremental.Store(spark, shared_dir(spark))
+    gem = Crawl(crawl.listing.filter("name = 'Gem Hall'"), crawl.pages, crawl.articles, crawl.gazetteer)
+
+    class Lost(Exception):
+        pass
+
+    def lose(*_):
+        raise Lost
+
+    with monkeypatch.context() as patch:
+        patch.setattr(incremental.Store, "publish", lose)
+        with pytest.raises(Lost):
+            incremental.run(gem, store)
+    if lost_at == "processed":
+        tables.reset(spark, f"{store.path}/processed", partition="batch")
+    incremental.run(gem, store)
+    assert [(r.id, r["name"]) for r in store.output_table("sites", "id STRING, name STRING").collect()] == [("site_001", "Gem Hall")]
     assert store.processed().count() == 1
 
 
+def test_stream_after_a_run(spark, crawl):
+    store, folder, checkpoint = incremental.Store(spark, shared_dir(spark)), shared_dir(spark), shared_dir(spark)
+    karnak = Crawl(crawl.listing.filter("name = 'Karnak Temple'"), crawl.pages, crawl.articles, crawl.gazetteer)
+    incremental.run(karnak, store, mark_completed=False)
+    crawl.listing.filter("name in ('Karnak Temple', 'Gem Hall')").write.parquet(folder)
+    intake.research_stream(intake.listing_stream(spark, folder), crawl, store, checkpoint).awaitTermination()
+    assert numbers(store) == {"Karnak Temple": "site_001", "Gem Hall": "site_002"}
+
+
+def test_other_types_orders_repeats_and_blanks(spark, crawl):
+    """A fifth page type, types in the caller's order, snapshot rows stored twice, a null location and position."""
+    extra = [("https://s/en/gardens/5", "Rose Garden", None, "x", "", "gardens", 1), ("https://s/en/gardens/6", "Palm Garden", "", "x", "", "gardens", None)]
+    pages = [(u, f"<h1>G</h1><p>{KEEP}A garden.</p>") for u, *_ in extra]
+    listing = spark.createDataFrame(LISTING + extra, S.LISTING)
+    twice = Crawl(
+        listing, crawl.pages.unionByName(crawl.pages).unionByName(spark.createDataFrame(pages, S.PAGE)), crawl.articles.unionByName(crawl.articles), crawl.gazetteer.unionByName(crawl.gazetteer),
+    )
+    store = incremental.Store(spark, shared_dir(spark))
+    incremental.run(twice, store)
+    assert numbers(store) == {"Kom el-Dikka": "site_001", "Karnak Temple": "site_002", "Gem Hall": "site_003", "Rose Garden": "site_004", "Palm Garden": "site_005"}
+    assert {r.page_type for r in store.completed().collect()} >= {"gardens", "museums"}
+    ordered = research.research_all(twice, ["museums", "gardens", "monuments"]).select("id", "name").collect()
+    assert sorted((r.id, r["name"]) for r in ordered) == [("site_001", "Gem Hall"), ("site_002", "Rose Garden"), ("site_003", "Palm Garden"), ("site_004", "Karnak Temple")]
+
+
 def test_stream_of_listing_rows(spark, crawl):
     folder, store, checkpoint = shared_dir(spark), incremental.Store(spark, shared_dir(spark)), shared_dir(spark)
 

@@ -3,7 +3,7 @@
 For a benchmark item of n words, every n-word window of a document is a candidate, provided that it holds at least one
 of the item's shingles (a window alike to the item shares most of them, so this loses nothing).
 
-1. ``hits``: shingles of all documents are joined with the (few, checked) shingles of the benchmark.
+1. ``hits``: shingles of all documents are joined with the (few, counted) shingles of the benchmark.
 2. Each hit names the windows around it.  A window's SimHash has 128 bits: per bit, the shingles' votes are summed, each
    shingle voting as often as it occurs.  Votes of 64 bits are summed in 32 numbers of two 32-bit fields.
 3. Multi-index Hamming search: fingerprints are cut into ``radius + 1`` blocks; two fingerprints within the radius agree in
@@ -23,6 +23,7 @@ similar windows the first is reported; empty tables give an empty result; other
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.functions.text import let
 from siteweave.llm.rows import keyed
 from siteweave.session import staged
 
@@ -38,13 +39,14 @@ def words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingles_of(docs: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """``keys`` with ``sh``, the shingle hashes of ``text``; each step is a column of its own, computed once."""
-    hashed = docs.select(*keys, F.transform(words("text"), lambda x: F.xxhash64(x)).alias("w"))
-    many = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]))
-    whole = F.array(F.xxhash64("w"))
-    sh = F.when(F.size("w") >= k, many).when(F.size("w") > 0, whole).otherwise(F.array().cast("array<long>"))
-    return hashed.select(*keys, F.size("w").alias("n_words"), sh.alias("sh"))
+def hashed_words(text: str) -> Column:
+    return F.transform(words(text), lambda x: F.xxhash64(x))
+
+
+def shingles_of(w: Column, k: int) -> Column:
+    """Hashes of all ``k``-word shingles by place, of hashed words (a lambda variable); the whole sequence where there are fewer."""
+    many = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return F.when(F.size(w) >= k, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
 
 
 def fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,39 +81,50 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 def _short(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """Matches of items of ``n`` words, fewer than a shingle: such an item is one shingle and matches its equals only."""
-    hashed = texts.select("_row", F.transform(words("text"), lambda x: F.xxhash64(x)).alias("w")).filter(F.size("w") >= n)
-    each = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)))
-    spread = hashed.select("_row", F.posexplode(each).alias("place", "h"))
+    def each(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<long>"))
+
+    spread = texts.select("_row", F.posexplode_outer(let(hashed_words("text"), each)).alias("place", "h"))
     wanted = items.filter(F.col("n_words") == n).select("item_id", "item", F.col("sh")[0].alias("h"))
     first = spread.join(wanted, "h").groupBy("_row", "item", "item_id").agg(F.min("place").alias("start_word"))
     return first.select("_row", "item_id", "start_word", F.lit(n).alias("n_words"), F.lit(1.0).alias("similarity"))
 
 
+def _windows(k: int) -> Column:
+    """The windows (start, n_words, ws) around the hits of a document: places, lengths and their shingles, each once."""
+    def reach(hit: Column) -> Column:
+        first = F.greatest(F.lit(0), hit["place"] - (hit["n_words"] - k))  # a window's shingles start at most n - k places earlier
+        last = F.least(hit["place"], F.col("s.n_words") - hit["n_words"])
+        starts = F.transform(F.sequence(first, last), lambda x: F.shiftleft(x.cast("long"), 31).bitwiseOR(hit["n_words"].cast("long")))
+        return F.when(first <= last, starts).otherwise(F.array().cast("array<long>"))
+
+    def window(key: Column) -> Column:
+        start, n = F.shiftright(key, 31).cast("int"), key.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        return F.struct(start.alias("start"), n.alias("n_words"), F.slice("s.sh", start + 1, n - k + 1).alias("ws"))
+
+    return F.transform(F.array_distinct(F.flatten(F.transform("hits", reach))), window)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(_row, item_id, start_word, n_words, similarity): the best window of every matching document and item."""
     texts = docs if "_row" in docs.columns else keyed(docs, "text")
-    items = staged(shingles_of(benchmark.select("item_id", "text"), ["item_id"], k).filter("n_words > 0").withColumn("item", F.monotonically_increasing_id()))
-    short = [r["n_words"] for r in items.filter(F.col("n_words") < k).select("n_words").distinct().collect()]  # fewer than k numbers
-    small, items = items, items.filter(F.col("n_words") >= k)
-    by_shingle = staged(items.select("n_words", F.explode("sh").alias("h"), F.size("sh").alias("size")).distinct())
+
+    def both(w: Column) -> Column:
+        return F.struct(F.size(w).alias("n_words"), shingles_of(w, k).alias("sh"))
+
+    every = staged(benchmark.select("item_id", let(hashed_words("text"), both).alias("s")))
+    every = staged(every.select("item_id", "s.n_words", "s.sh").filter("n_words > 0").withColumn("item", F.monotonically_increasing_id()))
+    short = [r["n_words"] for r in every.filter(F.col("n_words") < k).select("n_words").distinct().collect()]  # fewer than k numbers
+    items = every.filter(F.col("n_words") >= k)
+    by_shingle = staged(items.select("n_words", F.explode("sh").alias("h")).distinct())
     n_shingles = by_shingle.count()
 
-    spread = shingles_of(texts, ["_row"], k).select("_row", F.col("n_words").alias("have"), F.posexplode("sh").alias("place", "h"))
-    found = spread.join(_sized(by_shingle, n_shingles), "h").filter("have >= n_words")
-    # windows that hold the shingle: they start at most size - 1 places earlier
-    first, last = F.greatest(F.lit(0), F.col("place") - F.col("size") + 1), F.least("place", F.col("have") - F.col("n_words"))
-    reach = found.filter(first <= last).select("_row", "n_words", "size", first.alias("first"), last.alias("last"))
-    ranges = staged(reach.distinct())
-
-    hit_rows = ranges.select("_row").distinct()
-    starts = ranges.select("_row", "n_words", "size", F.explode(F.sequence("first", "last")).alias("start")).distinct()
-    asked = starts.groupBy("_row").agg(F.collect_set(F.struct("start", "n_words", "size")).alias("windows"))  # of one document
-    chosen = texts.select("_row", "text").join(hit_rows, "_row", "left_semi")
-    shingled = shingles_of(chosen, ["_row"], k).join(asked, "_row")
-    windows = shingled.select("_row", "sh", F.explode("windows").alias("w")).select(
-        "_row", F.col("w.start").alias("start"), F.col("w.n_words").alias("n_words"), F.slice("sh", F.col("w.start") + 1, F.col("w.size")).alias("ws")
-    )
-    windows = staged(windows)
+    spread = texts.select("_row", F.posexplode_outer(let(hashed_words("text"), lambda w: shingles_of(w, k))).alias("place", "h"))
+    hits = staged(spread.join(_sized(by_shingle, n_shingles), "h").select("_row", "place", "n_words").distinct())
+    asked = hits.groupBy("_row").agg(F.collect_list(F.struct("place", "n_words")).alias("hits"))  # of one document
+    shingled = texts.select("_row", "text").join(asked, "_row").select("_row", "hits", let(hashed_words("text"), both).alias("s"))
+    windows = staged(staged(shingled).select("_row", F.explode(_windows(k)).alias("w")).select("_row", "w.*"))
     keys = ["_row", "start", "n_words"]
     # written, so that the long expressions of the bits are not repeated in every block
     prints = staged(fingerprints(windows.select(*keys, F.size("ws").alias("size"), F.explode("ws").alias("h")), keys))
@@ -134,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     best = alike.groupBy("_row", "item", "item_id").agg(F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
     found = best.select("_row", "item_id", F.col("w.start").alias("start_word"), F.col("w.n_words").alias("n_words"), F.col("w.similarity").alias("similarity"))
     for n in short:
-        found = found.unionByName(_short(texts, small, n))
+        found = found.unionByName(_short(texts, every, n))
     return found
 
 

@@ -166,8 +166,8 @@ def sql() -> str:
     return f"""
     WITH parts AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), {quoted(BREAK)}) AS p FROM documents),
     named AS (
-      SELECT doc_id, list_transform(list_filter(list_transform(list_filter(p, s -> {cues}), s -> rtrim(trim(regexp_replace(s, {quoted(STRANGE)}, ' ', 'g')), '. ')), s -> s <> ''),
-        s -> '<' || CASE {cases} ELSE 'unknown' END || '>') AS n FROM parts
+      SELECT doc_id, list_transform(list_filter(list_transform(list_filter(p, lambda s: {cues}), lambda s: rtrim(trim(regexp_replace(s, {quoted(STRANGE)}, ' ', 'g')), '. ')), lambda s: s <> ''),
+        lambda s: '<' || CASE {cases} ELSE 'unknown' END || '>') AS n FROM parts
     ),
     ids AS (SELECT doc_id, len(n)::BIGINT AS n_sentences, coalesce(array_to_string(n, ''), '') AS sequence, coalesce(array_to_string(n, ''), '') AS r, CAST([] AS VARCHAR[]) AS l FROM named),
     {", ".join(steps)}

@@ -37,7 +37,7 @@ from siteweave.session import staged
 
 VOCABULARY = "piece_bpe_32k.model"
 ROUNDS = 2
-SLICE = 16 << 20        # bytes of text whose words are numbered together
+SLICE = 8 << 20         # bytes of text whose words are numbered together
 VECTOR = 64             # longest word (bytes) that is handled together with others
 WORDS_AT_ONCE = 20_000
 SMOOTHING = 0.1         # added to every piece's expected count
@@ -217,13 +217,13 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows, ids, held, sizes, hashes, text = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        rows, ids, held, sizes, hashes = (np.concatenate([p[k] for p in parts]) for k in range(5))
         keys, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
         base = np.cumsum([0] + [len(p[4]) for p in parts])
         part = np.searchsorted(base, first, "right") - 1
         words = []
         for p, at in zip(part.tolist(), (first - base[part]).tolist()):
-            start, end, raw = parts[p][6]
+            start, end, raw = parts[p][5:]
             words.append(raw[start[at]:end[at]])
         owner = np.repeat(np.arange(len(rows)), sizes)
         trained = np.bincount(numbers, ~held[owner], minlength=len(keys)).astype(np.int64)
@@ -247,7 +247,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         missing = np.array(batch.column("doc_id").is_null())
         held = np.array(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
         raw = w.data.tobytes()
-        parts.append((longs(batch.column("_row")), np.where(missing, np.iinfo(np.int64).min, ids), held, w.count.astype(np.int64), w.hash, w.text, (w.start.tolist(), w.end.tolist(), raw)))
+        parts.append((longs(batch.column("_row")), np.where(missing, np.iinfo(np.int64).min, ids), held, w.count.astype(np.int64), w.hash, w.start.astype(np.int32), w.end.astype(np.int32), raw))
         size += sum(map(len, texts))
         if size >= SLICE:
             yield from emit(parts)

@@ -123,7 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     spread = texts.select("_row", F.posexplode_outer(let(hashed_words("text"), lambda w: shingles_of(w, k))).alias("place", "h"))
     hits = staged(spread.join(_sized(by_shingle, n_shingles), "h").select("_row", "place", "n_words").distinct())
     asked = hits.groupBy("_row").agg(F.collect_list(F.struct("place", "n_words")).alias("hits"))  # of one document
-    shingled = texts.select("_row", "text").join(asked, "_row").select("_row", "hits", let(hashed_words("text"), both).alias("s"))
+    # the same plan at every size: the number of documents with hits has no bound, so they are never broadcast
+    shingled = texts.select("_row", "text").join(asked.hint("merge"), "_row").select("_row", "hits", let(hashed_words("text"), both).alias("s"))
     windows = staged(staged(shingled).select("_row", F.explode(_windows(k)).alias("w")).select("_row", "w.*"))
     keys = ["_row", "start", "n_words"]
     # written, so that the long expressions of the bits are not repeated in every block
@@ -136,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     near = blocks.join(_sized(item_blocks, item_blocks.count()), ["n_words", "block", "value"]).filter(distance <= radius)
     near = near.select(*keys, "item").distinct()
 
-    pairs = near.join(windows, keys).join(_sized(items.select("item", "item_id", "sh"), n_shingles), "item")
+    pairs = near.hint("merge").join(windows, keys).join(_sized(items.select("item", "item_id", "sh"), n_shingles), "item")
     common = F.aggregate(
         F.array_distinct("ws"), F.lit(0),
         lambda total, h: total + F.least(F.size(F.filter("ws", lambda x: x == h)), F.size(F.filter("sh", lambda x: x == h))),

@@ -1,14 +1,17 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations only.
 
 For a benchmark item of n words, every n-word window of a document is a candidate, provided that it holds at least one
-of the item's shingles (a window alike to the item shares most of them, so this loses nothing).
+of the item's shingles (a window alike to the item shares most of them, so this loses nothing).  A document with fewer
+words than the item is one window, the whole document, where its size can still reach the threshold.
 
 1. ``hits``: shingles of all documents are joined with the (few, counted) shingles of the benchmark.
 2. Each hit names the windows around it.  A window's SimHash has 128 bits: per bit, the shingles' votes are summed, each
    shingle voting as often as it occurs.  Votes of 64 bits are summed in 32 numbers of two 32-bit fields.
 3. Multi-index Hamming search: fingerprints are cut into ``radius + 1`` blocks; two fingerprints within the radius agree in
    at least one block, so windows and items of the same length are joined on (length, block, value).  All fingerprints
-   within the radius are found.
+   within the radius are found.  Whole documents that are shorter than the item need no fingerprint: of the item's ``b``
+   shingles at least ``t = percent * b / 100`` must be in the document, so one of any ``b - t + 1`` is; its rarest ones in
+   the benchmark are joined with the document's.  This is exact at every size.
 4. The weighted similarity of window and item, sum of least over sum of greatest multiplicities of their shingles,
    is computed exactly and must reach the threshold.
 
@@ -16,7 +19,8 @@ At a similarity of 0.8, fingerprints of 128 bits differ in 19.4 bits on average
 of 40 lies five deviations above.
 
 Defined cases: null, empty and blank texts match nothing, nor do such items; an item with fewer words than a shingle is one
-shingle; items with equal text are reported separately; repeated rows and null ids are documents of their own; of equally
+shingle; items with equal text are reported separately; ``n_words`` is the
+window's length, so that of the document where it is shorter than the item; repeated rows and null ids are documents of their own; of equally
 similar windows the first is reported; empty tables give an empty result; other columns are not looked at.
 """
 
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions.text import let
-from siteweave.llm.rows import keyed
+from siteweave.llm.rows import answer_join, keyed
 from siteweave.session import staged
 
 SHINGLE = 5
@@ -91,13 +95,28 @@ def _short(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return first.select("_row", "item_id", "start_word", F.lit(n).alias("n_words"), F.lit(1.0).alias("similarity"))
 
 
-def _windows(k: int) -> Column:
-    """The windows (start, n_words, ws) around the hits of a document: places, lengths and their shingles, each once."""
+def _rarest(items: DataFrame, percent: int) -> DataFrame:
+    """(item, n_words, h): of each item's shingles, the rarest in the benchmark, so many that a shorter document which is alike holds one."""
+    each = staged(items.select("item", "n_words", F.size("sh").alias("size"), F.explode("sh").alias("h")))
+    held = staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("held")))
+    placed = answer_join(each, held, ["h"], "held", each.count())
+    ordered = placed.groupBy("item", "n_words", "size").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("o"))
+    needed = F.expr(f"size - ({percent} * size + 99) div 100 + 1").cast("int")
+    return ordered.select("item", "n_words", F.explode(F.slice("o", F.lit(1), needed)).alias("o")).select("item", "n_words", F.col("o.h").alias("h")).distinct()
+
+
+def _windows(k: int, percent: int) -> Column:
+    """The windows (start, n_words, ws) around the hits of a document: places, items' lengths and their shingles, each once.
+
+    A document shorter than the item is one window with fewer shingles, if they suffice.
+    """
     def reach(hit: Column) -> Column:
         first = F.greatest(F.lit(0), hit["place"] - (hit["n_words"] - k))  # a window's shingles start at most n - k places earlier
         last = F.least(hit["place"], F.col("s.n_words") - hit["n_words"])
         starts = F.transform(F.sequence(first, last), lambda x: F.shiftleft(x.cast("long"), 31).bitwiseOR(hit["n_words"].cast("long")))
-        return F.when(first <= last, starts).otherwise(F.array().cast("array<long>"))
+        suffices = (F.col("s.n_words") - (k - 1)) * 100 >= (hit["n_words"] - (k - 1)) * percent
+        whole = (F.col("s.n_words") < hit["n_words"]) & suffices
+        return F.when(first <= last, starts).when(whole, F.array(hit["n_words"].cast("long"))).otherwise(F.array().cast("array<long>"))
 
     def window(key: Column) -> Column:
         start, n = F.shiftright(key, 31).cast("int"), key.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
@@ -125,17 +144,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     asked = hits.groupBy("_row").agg(F.collect_list(F.struct("place", "n_words")).alias("hits"))  # of one document
     # the same plan at every size: the number of documents with hits has no bound, so they are never broadcast
     shingled = texts.select("_row", "text").join(asked.hint("merge"), "_row").select("_row", "hits", let(hashed_words("text"), both).alias("s"))
-    windows = staged(staged(shingled).select("_row", F.explode(_windows(k)).alias("w")).select("_row", "w.*"))
+    windows = staged(staged(shingled).select("_row", F.explode(_windows(k, percent)).alias("w")).select("_row", "w.*"))
     keys = ["_row", "start", "n_words"]
+    whole = F.size("ws") < F.col("n_words") - (k - 1)
     # written, so that the long expressions of the bits are not repeated in every block
-    prints = staged(fingerprints(windows.select(*keys, F.size("ws").alias("size"), F.explode("ws").alias("h")), keys))
+    prints = staged(fingerprints(windows.filter(~whole).select(*keys, F.size("ws").alias("size"), F.explode("ws").alias("h")), keys))
     item_prints = staged(fingerprints(items.select("item", "n_words", F.size("sh").alias("size"), F.explode("sh").alias("h")), ["item", "n_words"]))
     item_blocks = staged(item_prints.select("item", "n_words", F.col("f0").alias("i0"), F.col("f1").alias("i1"), F.explode(block_values(radius)).alias("b")).select("item", "n_words", "i0", "i1", "b.*"))
 
     blocks = prints.select(*keys, "f0", "f1", F.explode(block_values(radius)).alias("b")).select(*keys, "f0", "f1", "b.*")
     distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("i0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("i1")))
     near = blocks.join(_sized(item_blocks, item_blocks.count()), ["n_words", "block", "value"]).filter(distance <= radius)
-    near = near.select(*keys, "item").distinct()
+    rarest = staged(_rarest(items, percent))
+    shorter = windows.filter(whole).select(*keys, F.explode(F.array_distinct("ws")).alias("h")).join(_sized(rarest, rarest.count()), ["n_words", "h"])
+    near = near.select(*keys, "item").unionByName(shorter.select(*keys, "item")).distinct()
 
     pairs = near.hint("merge").join(windows, keys).join(_sized(items.select("item", "item_id", "sh"), n_shingles), "item")
     common = F.aggregate(
@@ -144,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     )
     exact = pairs.select(*keys, "item", "item_id", common.alias("common"), F.size("ws").alias("a"), F.size("sh").alias("b"))
     union = F.col("a") + F.col("b") - F.col("common")
-    alike = exact.filter(F.col("common") * 100 >= union * percent).select("_row", "item", "item_id", "start", "n_words", (F.col("common") / union).alias("similarity"))
+    alike = exact.filter(F.col("common") * 100 >= union * percent).select("_row", "item", "item_id", "start", (F.col("a") + (k - 1)).alias("n_words"), (F.col("common") / union).alias("similarity"))
     best = alike.groupBy("_row", "item", "item_id").agg(F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
     found = best.select("_row", "item_id", F.col("w.start").alias("start_word"), F.col("w.n_words").alias("n_words"), F.col("w.similarity").alias("similarity"))
     for n in short:

@@ -89,3 +89,18 @@ def benchmark_hits(docs, items, k=5, percent=80):
                 if 100 * common >= percent * union and common / union > out.get((doc, item), (0,))[0]:
                     out[doc, item] = (common / union, s)
     return out
+
+
+def short_document_hits(docs, items, k=5, percent=80):
+    """{(doc, item): (similarity, start, words)} of documents with fewer words than the item, each one window."""
+    out = {}
+    for doc, text in docs:
+        w = (text or "").lower().split()
+        have = Counter(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1)))
+        for item, passage in items:
+            v = (passage or "").lower().split()
+            wanted = Counter(tuple(v[i:i + k]) for i in range(max(1, len(v) - k + 1)))
+            common, union = sum((have & wanted).values()), sum((have | wanted).values())
+            if 0 < len(w) < len(v) and 100 * common >= percent * union:
+                out[doc, item] = (common / union, 0, len(w))
+    return out

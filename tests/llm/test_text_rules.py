@@ -70,3 +70,17 @@ def test_decontamination(spark):
     assert kept.columns == ["doc_id", "text", "n_words", "fail_bits"] and {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {d for d, _ in want}
     nothing = spark.createDataFrame([], "item_id long, text string, extra string")
     assert decontam.report(spark.createDataFrame(docs, SCHEMA), nothing).collect() == []
+
+
+def test_documents_shorter_than_the_item(spark):
+    items = [(n, " ".join(f"{n}w{i}" for i in range(n)), "b") for n in (9, 16, 30, 50)]
+    items += [(100 + n, text + " tail", "b") for n, text, _ in items] + [(200, "a b c d " * 10 + "e", "b")]
+    docs = [(1000 * n + m, " ".join(text.split()[at:at + m]), 0, "") for n, text, _ in items for m in range(3, len(text.split())) for at in (0, 1)]
+    docs += [(-1, "clean", 0, ""), (-2, "a b c d e", 0, ""), (-3, None, 0, "")]
+    docs = list({d[0]: d for d in docs}.values())
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in decontam.report(
+        spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string, extra string")).collect()}
+    sizes = {d[0]: len((d[1] or "").split()) for d in docs}, {i[0]: len(i[1].split()) for i in items}
+    want = {k: (round(s, 9), at, m) for k, (s, at, m) in plain.short_document_hits([d[:2] for d in docs], [i[:2] for i in items]).items()}
+    assert {k: v for k, v in got.items() if sizes[0][k[0]] < sizes[1][k[1]]} == want
+    assert {d for d, i in want if i == 50} >= {50_000 + m for m in range(41, 50)} and (30_025, 30) in want and (16_014, 16) in want and (9_008, 9) in want

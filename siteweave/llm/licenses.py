@@ -1,7 +1,8 @@
 """Licence scan by sentences: known sentences get identifiers, and identifier sequences are matched with ordered rules.
 
-1. Texts are cut into sentences at line breaks and behind ``.``, ``!``, ``?`` and ``;`` before a blank.
-2. Sentences that hold one of the licence cues are normalised: lower case, one blank for each run of characters other than
+1. Wrapped lines are joined.  Texts are cut into sentences at blank lines, list marks, around lines that begin or are a known
+   sentence, and behind ``.``, ``!``, ``?`` and ``;`` before a blank or line break, but not before the clauses in ``GOES_ON``.
+2. Sentences that hold one of the licence cues (every known sentence has one) are normalised: lower case, one blank for each run of characters other than
    letters, digits, ``.``, ``+`` and ``-``, no stop at the end.
 3. A normalised sentence gets the identifier of the first sentence pattern that it matches as a whole, else ``unknown``.
 4. The identifiers of a document, in order, form a sequence.  The rules are tried in their order; a rule that finds its
@@ -13,6 +14,8 @@ All steps are column functions over single documents: no shuffle, no Python.  Se
 Defined cases: null, empty and blank texts have no sentences; a repeated licence is reported once, in order of the rules;
 repeated rows and null ids are scanned like any other row; an empty table gives an empty result; other columns are
 not looked at.
+
+``sql()`` cuts at every line break and knows ``CUES`` and ``SENTENCES`` only, so it differs on wrapped notices.
 """
 
 from dataclasses import dataclass
@@ -99,6 +102,37 @@ BREAK = r"\n|[.!?;]+[ \t\r]+"
 STRANGE = r"[^a-z0-9.+-]+"
 
 
+WRAPPED_CUES = (*CUES, "neither the name of")
+WRAPPED_SENTENCES = (
+    Sentence("gpl-3-grant", r"([^.]{0,80} is free software )?you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 3.*"),
+    Sentence("gpl-2-grant", r"([^.]{0,80} is free software )?you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 2.*"),
+    Sentence("gpl-redistribute", r"[^.]{0,80} is free software you can redistribute it and or modify it under the terms of the gnu general public license.*"),
+    Sentence("as-is", r"(the|this) software is provided by .* as is.*"),
+    *SENTENCES,
+)
+GOES_ON = ("nor the names", "either version", "without even the implied", "loss of use", "or business interruption", "you can redistribute it")
+MARK = "\u0001"
+
+
+def _raw(pattern: str) -> str:
+    """The fixed beginning of a sentence pattern, for lower-case text before it is normalised."""
+    if "copyright .*" in pattern:
+        return rf"(?:\(?c\)?{STRANGE})?copyright{STRANGE}(?!notice|holder|owner|law|licen|statement|and |or )"
+    return pattern.split(".*")[0].replace(" ", STRANGE)
+
+
+def _joined(text: Column) -> Column:
+    """Text with ``MARK`` at the line breaks that end a sentence and a blank at all others."""
+    known = "|".join(f"(?:{_raw(k.pattern)})" for k in WRAPPED_SENTENCES)
+    closed = "|".join(f"(?:{_raw(k.pattern)})" for k in WRAPPED_SENTENCES if ".*" not in k.pattern)
+    lead = r"[ \t]*(?:(?:\*|#+|//+)[ \t]*)?"
+    t = F.regexp_replace(text, r"\r\n?", "\n")
+    t = F.regexp_replace(t, rf"(?:\n{lead})+(?=\n{lead}https?://)", "")
+    t = F.regexp_replace(t, rf"(?m)(^{lead}|[.!?;][ \t]+)({closed})([^a-z0-9\n]*)$", f"$1$2$3{MARK}")
+    t = F.regexp_replace(t, rf"\n(?={lead}(?:\n|$|(?:[0-9]+|\(?[a-z])[.)][ \t]|[-\u2022][ \t]|{known}))", MARK)
+    return F.regexp_replace(t, rf"\n{lead}", " ")
+
+
 def rule_pattern(rule: Rule) -> str:
     """A rule as a regular expression over a sequence written as ``<a><b><c>``."""
     parts = []
@@ -112,17 +146,18 @@ def _sentences(text: Column) -> Column:
     """Normalised sentences that hold a cue, in order."""
     def cued(s: Column) -> Column:
         found = F.lit(False)
-        for cue in CUES:
+        for cue in WRAPPED_CUES:
             found = found | s.contains(cue)
         return found
 
-    plain = F.transform(F.filter(F.split(text, BREAK), cued), lambda s: F.rtrim(F.trim(F.regexp_replace(s, STRANGE, " ")), F.lit(". ")))
-    return F.filter(plain, lambda s: s != "")
+    ends = rf"{MARK}|:[ \t]+[*-][ \t]+|[.!?;]+[ \t]++(?!(?:{'|'.join(GOES_ON)}))"
+    plain = F.transform(F.split(_joined(text), ends), lambda s: F.rtrim(F.trim(F.regexp_replace(s, STRANGE, " ")), F.lit(". ")))
+    return F.filter(plain, lambda s: (s != "") & cued(s))
 
 
 def _identifier(s: Column) -> Column:
     found = None
-    for known in SENTENCES:
+    for known in WRAPPED_SENTENCES:
         matches = s.rlike(f"^(?:{known.pattern})$")
         found = F.when(matches, known.name) if found is None else found.when(matches, known.name)
     return found.otherwise("unknown")
@@ -132,9 +167,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_sentences, sequence, licences, n_unmatched) of every document."""
     lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     # most texts have no cue at all; looking for one first saves cutting them up
-    some = F.lit(False)
-    for cue in CUES:
-        some = some | F.col("t").contains(cue)
+    some = F.col("t").rlike("|".join(cue.replace(" ", STRANGE) for cue in WRAPPED_CUES))
     cut = lowered.select("doc_id", F.when(some, _sentences(F.col("t"))).otherwise(F.array().cast("array<string>")).alias("s"))
     named = cut.select("doc_id", F.transform("s", lambda s: F.concat(F.lit("<"), _identifier(s), F.lit(">"))).alias("ids"))
     state = named.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sequence"), F.array_join("ids", "").alias("r0"))

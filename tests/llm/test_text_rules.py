@@ -1,3 +1,5 @@
+import textwrap
+
 from siteweave.llm import decontam, licenses, quality
 from tests.llm import plain
 
@@ -84,3 +86,46 @@ def test_documents_shorter_than_the_item(spark):
     want = {k: (round(s, 9), at, m) for k, (s, at, m) in plain.short_document_hits([d[:2] for d in docs], [i[:2] for i in items]).items()}
     assert {k: v for k, v in got.items() if sizes[0][k[0]] < sizes[1][k[1]]} == want
     assert {d for d, i in want if i == 50} >= {50_000 + m for m in range(41, 50)} and (30_025, 30) in want and (16_014, 16) in want and (9_008, 9) in want
+
+
+BSD = """Copyright 2008, Google Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+    * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+    * Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT DAMAGES."""
+GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def test_wrapped_licences(spark):
+    texts = [(BSD, "BSD-3-Clause, All-Rights-Reserved"), (GPL.format(":", ",", 3), "GPL-3.0"), (GPL.format(";", ";", 2), "GPL-2.0"), (MIT, "MIT"), (APACHE, "Apache-2.0")]
+    rows, want = [], {}
+    for n, (text, licence) in enumerate(texts):
+        for width in (20, 33, 50, 66, 72, 79, 100, 10_000):
+            for m, mark in enumerate(("", "# ", "// ")):
+                lines = [line for part in text.split("\n") for line in (textwrap.wrap(part, width, break_on_hyphens=False) or [""])]
+                key = n * 1_000_000 + width * 10 + m
+                rows.append((key, "\n".join((mark + line).rstrip() for line in lines), 0, ""))
+                want[key] = (licence, 0)
+        rows.append((-n - 1, " ".join(text.split()), 0, ""))
+        want[-n - 1] = (licence, 0)
+    got = {r.doc_id: (r.licences, r.n_unmatched) for r in licenses.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: v for k, v in got.items() if v[0] != want[k][0]} == {}
+    rows = [(1, "Title\nReleased under the MIT License\nmore", 0, ""), (2, "put in the public\ndomain. Dedicated to the public\ndomain", 0, "")]
+    got = {r.doc_id: r.licences for r in licenses.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "MIT", 2: "CC0-1.0"}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.words import Words, between, mix, prefix, slices
+from siteweave.llm.words import Words, mix, piece_hashes, slices
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +95,7 @@ def _lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     has_word = np.searchsorted(words.start, start) < np.searchsorted(words.start, end)
     start, end = start[has_word], end[has_word]
     text = np.searchsorted(words.text_start, start, "right") - 1
-    key = mix(between(prefix(data), start, end) ^ mix(text.astype(np.uint64) + np.uint64(1)))
+    key = mix(piece_hashes(data, start, end) ^ mix(text.astype(np.uint64) + np.uint64(1)))
     _, seen = np.unique(key, return_index=True)
     later = np.ones(len(key), bool)
     later[seen] = False

@@ -46,9 +46,13 @@ def test_given_documents(spark):
 
 
 def test_repeats_and_empty(spark):
-    text = "".join(random.Random(9).choice("abcdefgh") for _ in range(150))
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(150))
+    one = "a" * 150
     df = suffix_dedup.report(spark.createDataFrame([(1, text, 1, ""), (1, text, 1, ""), (None, text, 1, "")], SCHEMA))
     assert sorted((str(r.doc_id), r.n_removed) for r in df.collect()) == [("1", 0), ("1", 150), ("None", 150)]
+    df = suffix_dedup.report(spark.createDataFrame([(1, one, 1, ""), (2, one, 1, ""), (3, one, 1, "")], SCHEMA))
+    assert found(df) == plain.removed([(1, one), (2, one), (3, one)])
     assert suffix_dedup.report(spark.createDataFrame([], SCHEMA)).collect() == []
 
 

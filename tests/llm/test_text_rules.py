@@ -23,6 +23,16 @@ def test_measures(spark):
     assert quality.report(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_long_regular_lines(spark):
+    """Thue-Morse words, whose polynomial hashes modulo 2**64 are equal, are different lines."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    text = "\n".join((word, word.translate(str.maketrans("ab", "ba")), word[:1024], word[1024:], word))
+    row = quality.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_dup_lines == 1
+
+
 def test_policies_and_ablation(spark):
     entries = quality.ledger(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).cache()
     rows = quality.judged(entries).collect()

@@ -5,7 +5,8 @@ task encodes its documents, appends the end id to each, and writes two Arrow str
 
 * ``tokens-<part>-<attempt>.arrows``: batches of ``ids`` (fixed_size_list<uint16 or uint32>[length]) and ``mask``
   (fixed_size_list<bool>[length], false on the padding of the last sequence).  The documents of a part fill the
-  sequences without gaps.  Buffers are not compressed, so a memory-mapped file gives any sequence without a copy.
+  sequences without gaps.  Buffers are not compressed and all batches but the last have the same size, so ``sequence``
+  finds any sequence of a memory-mapped file by its number, without a copy and without reading those before it.
 * ``index-<part>-<attempt>.arrows``: doc_id, start within the part, n_tokens, in order.
 
 A task returns one manifest row; only files named in the manifest count, so a repeated attempt (a lost executor) never
@@ -56,11 +57,12 @@ class SequenceWriter:
     def add(self, ids: np.ndarray) -> None:
         self.waiting.append(ids.astype(self.dtype))
         self.held += len(ids)
-        if self.held >= self.length * BATCH_SEQUENCES:
+        full = self.length * BATCH_SEQUENCES
+        if self.held >= full:
             whole = np.concatenate(self.waiting)
-            cut = len(whole) // self.length * self.length
-            for at in range(0, cut, self.length * BATCH_SEQUENCES):
-                self._write(whole[at:min(cut, at + self.length * BATCH_SEQUENCES)])
+            cut = len(whole) // full * full
+            for at in range(0, cut, full):
+                self._write(whole[at:at + full])
             self.waiting, self.held = [whole[cut:]], len(whole) - cut
 
     def _write(self, ids: np.ndarray) -> None:
@@ -104,12 +106,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, len
             if writers is None:
                 sinks = [system.open_output_stream(tokens), system.open_output_stream(index)]
                 writers = SequenceWriter(sinks[0], length, wide), pa.ipc.new_stream(sinks[1], INDEX)
-            found = [np.append(ids, np.uint32(end_id)) for ids in encode.ids(texts)]
-            sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
-            writers[0].add(np.concatenate(found))
+            ids, sizes = encode.flat(texts)
+            writers[0].add(np.insert(ids, np.cumsum(sizes), end_id))
+            sizes = sizes + 1
             starts = total + np.cumsum(sizes) - sizes
             writers[1].write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts), pa.array(sizes)], schema=INDEX))
-            documents, total = documents + len(found), total + int(sizes.sum())
+            documents, total = documents + len(sizes), total + int(sizes.sum())
         if writers is not None:
             for writer, sink in zip(writers, sinks):
                 writer.close()
@@ -132,6 +134,35 @@ def sequences(folder: str, tokens: str) -> Iterator[tuple[np.ndarray, np.ndarray
         yield ids.flatten().to_numpy().reshape(-1, width), mask.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def sequence(folder: str, tokens: str, number: int) -> tuple[np.ndarray, pa.FixedSizeListScalar]:
+    """(ids, mask) of one sequence of a file, by its number; those of a local file are views of the mapped file.
+
+    The first batch's header gives the size of every full batch, so the wanted one is found by arithmetic.
+    """
+    system = _open(folder)[0]
+    source = pa.memory_map(tokens) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(tokens)
+    if number < 0:
+        raise IndexError(number)
+    schema = pa.ipc.read_schema(source)
+    begin = source.tell()
+    first = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    batch, row = first, number
+    if number >= first.num_rows:
+        at = begin + number // first.num_rows * (source.tell() - begin)
+        if at >= source.size():
+            raise IndexError(number)
+        source.seek(at)
+        try:
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+        except EOFError:
+            raise IndexError(number) from None
+        row = number % first.num_rows
+    if row >= batch.num_rows:
+        raise IndexError(number)
+    width = schema.field("ids").type.list_size
+    return batch.column("ids").flatten()[row * width:(row + 1) * width].to_numpy(), batch.column("mask")[row]
+
+
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per part

@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, start long, part string"
 TEXTS = [
     "The quick brown fox.", "", None, "naïve café — déjà vu, l'été!", "it's we'll you're don't 'sneak", "a1b2c3 4,5;6", "<|endoftext|> stays <|startoftext|>x",
     "<|ENDOFTEXT|> upper", "İstanbul ΣΑΣ ǅ ﬁ", "中文 字符、标点。", "x" * 3000, "tab\tnew\nline\rfeed\x0bvt\x0cff", "non breaking space\u0085next", "é ́x",
-    "hash# dollar$ & <b> *", "😀😃 ok", "word " * 4000,
+    "hash# dollar$ & <b> *", "😀😃 ok", "word " * 4000, "a=\u0338b é.é é—, ×.a ÷!a a.ΑΣ,ΑΣ (don't) x.'s .'ll. µ.µ ª.º ÿ<>Þ ß...ñ", "a\u0301.a\u0301 ,\u0301a e.\u0301",
 ]
 
 
@@ -36,7 +36,7 @@ def plain_result(tokenizer, rows):
 
 def test_ids_by_word_are_the_ids_of_the_text(tokenizer, monkeypatch):
     rng = random.Random(4)
-    alphabet = "aàbcd'.,!<|>#1 2\t\n éÉßŒ́ñ中"
+    alphabet = "aàbcd'.,!<|>#1 2\t\n éÉßŒ́ñ中×÷sΣ—\u0338=tµ"
     texts = [*TEXTS, *("".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(400))]
     own = encode.Encoder(encode.tokenizer_path())
     for kept in (encode.KEPT_WORDS, 50):
@@ -73,6 +73,36 @@ def test_files(spark, tokenizer, tmp_path):
     assert got == [i for _, t in rows for i in [*plain_ids(tokenizer, t), 1]]
 
 
+def test_any_sequence_by_its_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH_SEQUENCES", 4)
+    for n in (64, 100):  # the last batch full, and not
+        path = str(tmp_path / f"{n}.arrows")
+        with open(path, "wb") as sink:
+            writer = token_files.SequenceWriter(sink, 8, False)
+            for at in range(0, n, 7):
+                writer.add(np.arange(at, min(n, at + 7)))
+            writer.close()
+        many = -(-n // 8)
+        for k in reversed(range(many)):
+            ids, mask = token_files.sequence(str(tmp_path), path, k)
+            want = list(range(8 * k, min(n, 8 * k + 8)))
+            assert ids[:len(want)].tolist() == want and mask.as_py() == [True] * len(want) + [False] * (8 - len(want))
+            assert not ids.flags.owndata and ids.dtype == np.uint16
+        for wrong in (-1, many, many + 1, many + 100):
+            with pytest.raises(IndexError):
+                token_files.sequence(str(tmp_path), path, wrong)
+
+
+def test_long_regular_words(spark, tokenizer):
+    """Thue-Morse words, whose polynomial hashes modulo 2**64 are equal."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(0, word), (1, word.translate(str.maketrans("ab", "ba"))), (2, word[:1024]), (3, word[1024:])]
+    df = token_files.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in df.collect()} == plain_result(tokenizer, rows)
+
+
 def test_repeats_nulls_and_empty(spark):
     df = token_files.report(spark.createDataFrame([(None, "b", 0, ""), (1, "a", 0, ""), (1, "a", 0, "")], SCHEMA))
     assert sorted((r.start, str(r.doc_id)) for r in df.collect()) == [(0, "1"), (2, "1"), (4, "None")]

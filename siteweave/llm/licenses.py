@@ -11,6 +11,9 @@
 
 All steps are column functions over single documents: no shuffle, no Python.  Sentence and rule tables are parameters.
 
+No expression repeats a group, and none begins anew inside a run that it has read, so texts of a million line breaks or
+stops neither exhaust the stack nor take quadratic time.
+
 Defined cases: null, empty and blank texts have no sentences; a repeated licence is reported once, in order of the rules;
 repeated rows and null ids are scanned like any other row; an empty table gives an empty result; other columns are
 not looked at.
@@ -50,6 +53,20 @@ SENTENCES = (
     Sentence("spdx-bsd-3", r"spdx-license-identifier bsd-3-clause"),
     Sentence("copyright", r"(c |\(c\) )?copyright .*"),
     Sentence("rights-reserved", r"all rights reserved"),
+    Sentence("spdx-lgpl", r"spdx-license-identifier lgpl-[0-9.]+(-only|-or-later|\+)?"),
+    Sentence("spdx-agpl-3.0", r"spdx-license-identifier agpl-3.0(-only|-or-later|\+)?"),
+    Sentence("spdx-mpl-2.0", r"spdx-license-identifier mpl-2.0"),
+    Sentence("spdx-isc", r"spdx-license-identifier isc"),
+    Sentence("spdx-epl-2.0", r"spdx-license-identifier epl-2.0"),
+    Sentence("spdx-unlicense", r"spdx-license-identifier unlicense"),
+    Sentence("lgpl-grant", r"this (work|program|software|file|document|library) is (licensed|distributed|released) under the (terms of the )?gnu (lesser|library) general public license.*"),
+    Sentence("agpl-3-grant", r"this (work|program|software|file|document) is (licensed|distributed|released) under the (terms of the )?gnu affero general public license.*"),
+    Sentence("lgpl-redistribute", r"you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license.*"),
+    Sentence("agpl-redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license.*"),
+    Sentence("mpl-2.0-grant", r"this source code form is subject to the terms of the mozilla public license (v. )?2.0.*"),
+    Sentence("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
+    Sentence("epl-2.0-grant", r"this program and the accompanying materials are made available under the terms of the eclipse public license (v. )?2.0.*"),
+    Sentence("unlicense", r"this is free and unencumbered software released into the public domain.*"),
     Sentence("apache-2.0-grant", r"(this (file|work|software|document) is )?licensed under the apache license version 2.0( the license )?.*"),
     Sentence("apache-2.0-compliance", r"you may not use this file except in compliance with the license"),
     Sentence("apache-2.0-obtain", r"you may obtain a copy of the license at.*"),
@@ -83,6 +100,20 @@ RULES = (
     Rule("GPL-3.0", ("gpl-3-grant", "gpl-no-warranty?", "gpl-see?")),
     Rule("GPL-2.0", ("gpl-2-grant", "gpl-no-warranty?", "gpl-see?")),
     Rule("GPL", ("gpl-redistribute", "gpl-no-warranty?", "gpl-see?")),
+    Rule("LGPL", ("lgpl-grant",)),
+    Rule("LGPL", ("lgpl-redistribute",)),
+    Rule("AGPL-3.0", ("agpl-3-grant",)),
+    Rule("AGPL-3.0", ("agpl-redistribute",)),
+    Rule("MPL-2.0", ("mpl-2.0-grant",)),
+    Rule("ISC", ("isc-grant", "as-is?", "no-liability?")),
+    Rule("EPL-2.0", ("epl-2.0-grant",)),
+    Rule("Unlicense", ("unlicense", "as-is?", "no-liability?")),
+    Rule("LGPL", ("spdx-lgpl",)),
+    Rule("AGPL-3.0", ("spdx-agpl-3.0",)),
+    Rule("MPL-2.0", ("spdx-mpl-2.0",)),
+    Rule("ISC", ("spdx-isc",)),
+    Rule("EPL-2.0", ("spdx-epl-2.0",)),
+    Rule("Unlicense", ("spdx-unlicense",)),
     Rule("Apache-2.0", ("apache-2.0-grant",)),
     Rule("Apache-2.0", ("spdx-apache-2.0",)),
     Rule("MIT", ("mit-reference",)),
@@ -107,11 +138,14 @@ WRAPPED_SENTENCES = (
     Sentence("gpl-3-grant", r"([^.]{0,80} is free software )?you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 3.*"),
     Sentence("gpl-2-grant", r"([^.]{0,80} is free software )?you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 2.*"),
     Sentence("gpl-redistribute", r"[^.]{0,80} is free software you can redistribute it and or modify it under the terms of the gnu general public license.*"),
+    Sentence("lgpl-redistribute", r"[^.]{0,80} is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license.*"),
+    Sentence("agpl-redistribute", r"[^.]{0,80} is free software you can redistribute it and or modify it under the terms of the gnu affero general public license.*"),
     Sentence("as-is", r"(the|this) software is provided by .* as is.*"),
     *SENTENCES,
 )
-GOES_ON = ("nor the names", "either version", "without even the implied", "loss of use", "or business interruption", "you can redistribute it")
+GOES_ON = (r"2\.0", "nor the names", "either version", "without even the implied", "loss of use", "or business interruption", "you can redistribute it")
 MARK = "\u0001"
+RUN = r"[\n \t*#/]"
 
 
 def _raw(pattern: str) -> str:
@@ -127,7 +161,8 @@ def _joined(text: Column) -> Column:
     closed = "|".join(f"(?:{_raw(k.pattern)})" for k in WRAPPED_SENTENCES if ".*" not in k.pattern)
     lead = r"[ \t]*(?:(?:\*|#+|//+)[ \t]*)?"
     t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, rf"(?:\n{lead})+(?=\n{lead}https?://)", "")
+    # a run of breaks, blanks and comment marks is read once, from its start, so long runs cost no more than their length
+    t = F.regexp_replace(t, rf"(?<!{RUN})[ \t*#/]*+\n{RUN}*+(?=https?://)", "\n")
     t = F.regexp_replace(t, rf"(?m)(^{lead}|[.!?;][ \t]+)({closed})([^a-z0-9\n]*)$", f"$1$2$3{MARK}")
     t = F.regexp_replace(t, rf"\n(?={lead}(?:\n|$|(?:[0-9]+|\(?[a-z])[.)][ \t]|[-\u2022][ \t]|{known}))", MARK)
     return F.regexp_replace(t, rf"\n{lead}", " ")
@@ -150,7 +185,7 @@ def _sentences(text: Column) -> Column:
             found = found | s.contains(cue)
         return found
 
-    ends = rf"{MARK}|:[ \t]+[*-][ \t]+|[.!?;]+[ \t]++(?!(?:{'|'.join(GOES_ON)}))"
+    ends = rf"{MARK}|:[ \t]+[*-][ \t]+|(?<=[.!?;])[ \t]++(?!(?:{'|'.join(GOES_ON)}))"
     plain = F.transform(F.split(_joined(text), ends), lambda s: F.rtrim(F.trim(F.regexp_replace(s, STRANGE, " ")), F.lit(". ")))
     return F.filter(plain, lambda s: (s != "") & cued(s))
 

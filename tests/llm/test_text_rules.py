@@ -139,3 +139,22 @@ def test_wrapped_licences(spark):
     rows = [(1, "Title\nReleased under the MIT License\nmore", 0, ""), (2, "put in the public\ndomain. Dedicated to the public\ndomain", 0, "")]
     got = {r.doc_id: r.licences for r in licenses.report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "MIT", 2: "CC0-1.0"}
+
+
+def test_more_licences_and_junk(spark):
+    texts = {
+        1: ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the FSF.", "LGPL"),
+        2: ("Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published.", "AGPL-3.0"),
+        3: ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+        4: ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "ISC"),
+        5: ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        6: ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+    }
+    rows = [(i, t, 0, "") for i, (t, _) in texts.items()] + [(1, texts[1][0], 0, "")]
+    junk = ["\n" * 1_000_000, "." * 1_000_000, ". " * 300_000, " " * 1_000_000, "\n * " * 200_000, "# \n" * 200_000, "all rights\n" * 50_000, "/" * 1_000_000, "the " * 200_000, ";\t" * 200_000]
+    rows += [(100 + i, "Copyright 2020 me. " + j + "\nAll rights reserved.", 0, "") for i, j in enumerate(junk)]
+    found = licenses.report(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()
+    assert len(found) == 7 + len(junk)
+    got = {r.doc_id: r.licences for r in found}
+    assert {i: got[i] for i in texts} == {i: name for i, (_, name) in texts.items()}
+    assert {got[100 + i] for i in range(len(junk))} == {"All-Rights-Reserved"}

@@ -4,7 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteweave.llm import decontam, lattice_lm, licenses, minhash, mixing, quality, suffix_dedup, token_counts, token_files, toxicity
+from siteweave.llm import (
+    decontam, filter_audit, lattice_lm, licenses, minhash, mixing, periodic_runs, quality, quality_classifier, suffix_dedup, token_counts, token_files,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +54,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.report(periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_licenses, op3_minhash, op4_decontamination, op5_lattice_lm,
         op6_mixing, op7_quality, op8_token_counts, op9_toxicity, op10_token_files,
+        op11_filter_audit, op12_periodic_runs, op13_quality_classifier,
     )
 }
 
-STATEMENTS: dict[str, str] = {"op2_licenses": licenses.sql(), "op7_quality": quality.SQL}
+STATEMENTS: dict[str, str] = {"op2_licenses": licenses.sql(), "op7_quality": quality.SQL, "op11_filter_audit": filter_audit.SQL}

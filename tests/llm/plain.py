@@ -1,6 +1,7 @@
 """The operators' results in plain Python, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -104,3 +105,76 @@ def short_document_hits(docs, items, k=5, percent=80):
             if 0 < len(w) < len(v) and 100 * common >= percent * union:
                 out[doc, item] = (common / union, 0, len(w))
     return out
+
+
+def runs(x, least=12):
+    """Sorted (start, length, period) of all runs of a list: every period by itself, with the least period of each stretch."""
+    found = {}
+    for p in range(1, len(x) // 2 + 1):
+        i = 0
+        while i + p < len(x):
+            j = i
+            while j + p < len(x) and x[j] == x[j + p]:
+                j += 1
+            if j > i and j - i >= max(p, least - p):
+                found.setdefault((i, j + p - i), p)
+            i = max(j, i) + 1
+    return sorted((s, n, p) for (s, n), p in found.items())
+
+
+def planted(doc_id, w):
+    """The words of a document with the run that its id plants."""
+    h, n = crc(doc_id), len(w)
+    if h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+
+
+def run_digest(doc_id, text):
+    w = planted(doc_id, words(text, lower=False))
+    found = runs(w)
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+    gone = {i for s, n, p in found for i in range(s + p, s + n)}
+    lines = "".join(f"{s},{n},{p}\n" for s, n, p in found)
+    kept = " ".join(t for i, t in enumerate(w) if i not in gone)
+    return (len(found), *best, 1000 * best[1] // best[2] if found else None, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def audit(docs, labels):
+    """{(part, order, step): (kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)} of (doc_id, text, lang) rows."""
+    from itertools import permutations
+
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    firsts = {}
+    for i, t, _ in docs:
+        firsts.setdefault(t or "", []).append(math.inf if i is None else i)
+    masks = defaultdict(list)
+    for i, t, lang in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = set()
+        fails |= {"A"} if len(w) < 200 else set()
+        fails |= {"B"} if 100 * len(set(w)) < 50 * len(w) else set()
+        fails |= {"C"} if 100 * len(re.findall("[A-Z]", t)) > 3 * len(t) else set()
+        fails |= {"D"} if re.search("[#$%&*|]", t) else set()
+        fails |= {"E"} if (math.inf if i is None else i) > min(firsts[t]) else set()
+        masks[lang or ""].append((fails, i in good, i in toxic))
+    out = {}
+    for part, rows in masks.items():
+        total = Counter()
+        for order in permutations("ABCDE"):
+            for step in range(5):
+                f, before = order[step], set(order[:step])
+                here = [r for r in rows if f in r[0] and not r[0] & before]
+                total[f] += len(here)
+                out[part, "".join(order), step + 1] = [
+                    sum(not r[0] & (before | {f}) for r in rows), len(here), sum(f in r[0] and bool(r[0] & before) for r in rows),
+                    sum(r[0] == {f} for r in rows), sum(r[1] for r in here), sum(r[2] for r in here)]
+        for key in out:
+            if key[0] == part:
+                out[key].append(total[key[1][key[2] - 1]])
+    return {k: tuple(v) for k, v in out.items()}

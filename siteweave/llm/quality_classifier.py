@@ -7,8 +7,8 @@ constant.  The score is the logistic function of the sparse dot product with the
 
 Training takes at most ``max_rows`` labelled rows (those with the least hash of their id; documented bound 20,000; of a repeated
 id the text with the least hash), so the sample's ids may be broadcast.  The sample is dealt by hash into shards of about
-``SHARD_ROWS`` rows.  In each round every shard goes on from the shared state (the gradient sums and squared sums of each
-feature), updating it row by row, and the shards' states are averaged; the state is bounded by the hash size.
+``SHARD_ROWS`` rows.  Every shard is learned row by row in ``PASSES`` passes, and the shards' states (the gradient sums and
+squared sums of each feature, bounded by the hash size) are averaged.
 
 Inputs of a score are the text alone.  Defined cases: null, empty and blank texts have the constant feature only; null labels and
 labels of null ids are left out of training, and a document with several labels is good if one of them says so; with no
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from siteweave.llm.encode import Units
 from siteweave.llm.words import mix, slices
-from siteweave.session import staged
 
 BITS = 18             # n-grams are hashed to 2**BITS features
 REPEATED, CONSTANT = 1 << BITS, (1 << BITS) + 1
@@ -33,7 +32,7 @@ SIZE = (1 << BITS) + 2
 SEQUENCE = 4          # units of a sequence that may occur again
 MAX_ROWS = 20_000     # most labelled rows that training takes
 SHARD_ROWS = 2_500    # rows of a shard, about
-ROUNDS, PASSES = 4, 3
+PASSES = 10
 RATE, SHIFT, L1 = 4.0, 0.1, 0.05   # learning rate, its shift, and the penalty that keeps weak features out
 THRESHOLD = 0.3
 _U = np.uint64
@@ -79,59 +78,53 @@ def update(z: np.ndarray, n: np.ndarray, feature: np.ndarray, value: np.ndarray,
     n[feature] = nf + squared
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(rank, good, text) of at most ``max_rows`` labelled documents."""
+def sampled(labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, good) of at most ``max_rows`` labelled ids."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    sample = known.agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id")  # at most max_rows ids
-    return rows.groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")).select(
-        F.xxhash64("doc_id").alias("rank"), "doc_id", "good", "text")
+    return known.agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray | None:
     """Weights of all features, learned from the documents that ``labels`` (doc_id, quality) names."""
+    sample = sampled(labels, max_rows)
+    shards = -(-sample.count() // SHARD_ROWS)
+    if not shards:
+        return None
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             feature, value, offset = features(texts)
             packed = [[x[a:b].tobytes() for a, b in zip(offset, offset[1:])] for x in (feature.astype(np.int32), value.astype(np.float32))]
-            columns = [batch.column(c) for c in ("rank", "doc_id", "good")]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.binary()) for x in packed]], ["rank", "doc_id", "good", "feature", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), *[pa.array(x, pa.binary()) for x in packed]], ["doc_id", "good", "feature", "value"])
 
-    rows = staged(training_rows(docs, labels, max_rows).mapInArrow(sparse, "rank long, doc_id long, good int, feature binary, value binary"))
-    many = rows.count()
-    if not many:
+    def learn(table: pa.Table) -> pa.Table:
+        z, n = np.zeros(SIZE), np.zeros(SIZE)
+        order = np.argsort(mix(table["doc_id"].to_numpy().astype(np.uint64)))
+        good, feature, value = table["good"].to_numpy(), table["feature"].to_pylist(), table["value"].to_pylist()
+        for _ in range(PASSES):
+            for i in order.tolist():
+                update(z, n, np.frombuffer(feature[i], np.int32), np.frombuffer(value[i], np.float32).astype(float), float(good[i]))
+        used = np.flatnonzero(n)
+        return pa.table({"feature": pa.array(used, pa.int32()), "z": z[used], "n": n[used]})
+
+    shard = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards))
+    vectors = rows.mapInArrow(sparse, "doc_id long, good int, feature binary, value binary").withColumn("shard", shard)
+    learned = vectors.groupBy("shard").applyInArrow(learn, "feature int, z double, n double")  # a shard has a bounded part of a bounded sample
+    state = learned.groupBy("feature").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()  # at most SIZE rows
+    if not len(state):
         return None
-    shards = -(-many // SHARD_ROWS)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)))
     z, n = np.zeros(SIZE), np.zeros(SIZE)
-    for _ in range(ROUNDS):
-        start = docs.sparkSession.sparkContext.broadcast((z, n))
-
-        def learn(table: pa.Table) -> pa.Table:
-            z, n = (x.copy() for x in start.value)
-            order = np.lexsort((table["doc_id"].to_numpy(), table["rank"].to_numpy()))
-            good, feature, value = table["good"].to_numpy(), table["feature"].to_pylist(), table["value"].to_pylist()
-            for _ in range(PASSES):
-                for i in order.tolist():
-                    update(z, n, np.frombuffer(feature[i], np.int32), np.frombuffer(value[i], np.float32).astype(float), float(good[i]))
-            used = np.flatnonzero(n)
-            return pa.table({"feature": pa.array(used, pa.int32()), "z": z[used], "n": n[used]})
-
-        learned = dealt.groupBy("shard").applyInArrow(learn, "feature int, z double, n double")
-        state = learned.groupBy("feature").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()  # at most SIZE rows
-        z, n = np.zeros(SIZE), np.zeros(SIZE)
-        at = state["feature"].to_numpy(np.int64)
-        z[at], n[at] = state["z"].to_numpy(), state["n"].to_numpy()
-        start.unpersist()
+    at = state["feature"].to_numpy(np.int64)
+    z[at], n[at] = state["z"].to_numpy(), state["n"].to_numpy()
     return weights(z, n)
 
 
 def score_texts(texts: list[bytes], weight: np.ndarray) -> np.ndarray:
     """Probability that each text is good."""
     feature, value, offset = features(texts)
-    products = np.r_[0.0, np.cumsum(weight[feature] * value)]
-    z = products[offset[1:]] - products[offset[:-1]]
+    z = np.bincount(np.repeat(np.arange(len(texts)), np.diff(offset)), weight[feature] * value, minlength=len(texts))
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 

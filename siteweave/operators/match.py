@@ -1,14 +1,13 @@
 """Matching sites to encyclopedia articles."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave import lexicons as L
 from siteweave.functions import extract as X
 from siteweave.functions import text as T
-
-HOT_TITLES = 1000      # a word in more titles than this is matched through title groups
-HOT_WORDS = 20_000     # most words treated so; bounds what is broadcast
+from siteweave.operators import search
+from siteweave.operators.search import words
 
 
 def exact_matches(names: DataFrame, articles: DataFrame) -> DataFrame:
@@ -27,115 +26,14 @@ def exact_matches(names: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
 
-def words(c: Column) -> Column:
-    """Distinct lower-cased words, sorted."""
-    split = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
-    return F.array_sort(F.array_distinct(F.filter(split, lambda w: w != "")))
-
-
-def _size(c: str) -> Column:
-    return F.size(F.col(c))
-
-
-def _shared(a: str, b: str) -> Column:
-    return F.size(F.array_intersect(F.col(a), F.col(b)))
-
-
-def _owner(a: str, b: str) -> Column:
-    """The one shared word under which a pair is reported, so that it is reported once."""
-    return F.array_min(F.array_intersect(F.col(a), F.col(b)))
-
-
-def _best(candidates: DataFrame, group: str, hits: int) -> DataFrame:
-    """The first ``hits`` of each group: most shared words, shorter title, title."""
-    order = Window.partitionBy(group).orderBy(F.desc("overlap"), F.length("title"), "title")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= hits)
-
-
-def ranked_hits(
-    queries: DataFrame,
-    articles: DataFrame,
-    hits: int = L.SEARCH_HITS,
-    hot_titles: int = HOT_TITLES,
-    hot_words: int = HOT_WORDS,
-) -> DataFrame:
-    """word_set to its best article titles: rank, title, overlap.
-
-    ``queries`` has a column ``word_set``.  The order is by shared words, then shorter title, then title,
-    over all articles that share a word; the result is exact.  How it avoids pairing everything that
-    shares a common word:
-
-    * Rare words meet their titles through an equi-join.
-    * Common words are matched through groups of titles that hold the same common words.  Within such a
-      group, titles that share no rare word with the query tie on overlap, so only the group's first
-      ``hits`` titles can be among the best; the others are behind them.  Queries pair with groups,
-      never with the titles in them.
-    * A query whose rare words already give enough titles that share more words than it has common
-      ones skips the second step.
-    """
-    titles = articles.filter("lang = 'en'").select("title").distinct().select("title", words(F.col("title")).alias("title_words"))
-    by_word = titles.select("title", "title_words", F.explode("title_words").alias("word"))
-    common = (
-        by_word.groupBy("word").agg(F.count(F.lit(1)).alias("titles"))
-        .filter(F.col("titles") > hot_titles)
-        .orderBy(F.desc("titles"), "word").limit(hot_words)
-        .select("word", F.lit(True).alias("common"))
-    )
-    title_sides = _split_words(by_word, ["title", "title_words"], common)
-    asked = queries.select("word_set").distinct()
-    query_sides = _split_words(
-        asked.select("word_set", F.explode("word_set").alias("word")), ["word_set"], common
-    )
-
-    # 1. rare words
-    rare_titles = title_sides.select("title", "title_words", "rare_words", F.explode("rare_words").alias("word"))
-    rare_queries = query_sides.select(
-        "word_set", F.col("rare_words").alias("asked_rare"), F.explode("rare_words").alias("word")
-    )
-    rare = (
-        rare_queries.join(rare_titles, "word")
-        .filter(F.col("word") == _owner("asked_rare", "rare_words"))
-        .select("word_set", "title", _shared("word_set", "title_words").alias("overlap"))
-    )
-    rare_best = _best(rare, "word_set", hits).drop("rank")
-
-    # 2. common words
-    settled = (
-        rare_best.join(query_sides.select("word_set", _size("common_words").alias("n_common")), "word_set")
-        .filter(F.col("overlap") > F.col("n_common"))
-        .groupBy("word_set").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= hits)
-    )
-    open_queries = query_sides.filter(_size("common_words") > 0).join(settled, "word_set", "left_anti")
-    first_titles = Window.partitionBy("common_words").orderBy(F.length("title"), "title")
-    groups = (
-        title_sides.filter(_size("common_words") > 0).select("title", "common_words")
-        .withColumn("n", F.row_number().over(first_titles)).filter(F.col("n") <= hits)
-        .groupBy("common_words").agg(F.collect_list("title").alias("titles"))  # at most ``hits`` titles
-    )
-    asked_groups = open_queries.select(F.col("common_words").alias("asked_common")).distinct()
-    met = (
-        asked_groups.select("asked_common", F.explode("asked_common").alias("word"))
-        .join(groups.select("common_words", "titles", F.explode("common_words").alias("word")), "word")
-        .filter(F.col("word") == _owner("asked_common", "common_words"))
-        .select("asked_common", _shared("asked_common", "common_words").alias("overlap"), F.explode("titles").alias("title"))
-    )
-    common_best = (
-        open_queries.select("word_set", F.col("common_words").alias("asked_common"))
-        .join(_best(met, "asked_common", hits).drop("rank"), "asked_common")
-        .select("word_set", "title", "overlap")
-    )
-    both = rare_best.unionByName(common_best).groupBy("word_set", "title").agg(F.max("overlap").alias("overlap"))
-    return _best(both, "word_set", hits).select("word_set", "rank", "title", "overlap")
+def title_index(articles: DataFrame, **settings) -> search.TitleIndex:
+    """The index that searches of these articles read; build it once and pass it to every batch."""
+    return search.build(articles.filter("lang = 'en'").select("title"), **settings)
 
 
-def _split_words(by_word: DataFrame, keys: list[str], common: DataFrame) -> DataFrame:
-    """Words of each row, parted into common and rare ones (both sorted)."""
-    marked = by_word.join(F.broadcast(common), "word", "left")
-    return marked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("common"), F.col("word")))).alias("common_words"),
-        F.array_sort(F.collect_list(F.when(F.col("common").isNull(), F.col("word")))).alias("rare_words"),
-    )
+def ranked_hits(queries: DataFrame, articles: DataFrame, index: search.TitleIndex | None = None, **settings) -> DataFrame:
+    """word_set to its best article titles: rank, title, overlap (see ``search``)."""
+    return search.ranked_hits(queries, index or title_index(articles, **settings))
 
 
 def fuzzy_matches(names: DataFrame, articles: DataFrame, **options) -> DataFrame:

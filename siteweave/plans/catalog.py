@@ -28,7 +28,6 @@ from siteweave.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-HOT = {"hot_titles": 50}  # small, so that the common-word step runs on the test tables too
 
 
 def register(name: str) -> Callable[[Query], Query]:
@@ -441,7 +440,7 @@ def exact_variant_match(spark, sf):
 
 @register("fuzzy_match")
 def fuzzy_match(spark, sf):
-    found = M.fuzzy_matches(site_names(spark, sf), C.articles(spark, sf), **HOT)
+    found = M.fuzzy_matches(site_names(spark, sf), C.articles(spark, sf))
     return found.withColumn("query_pos", F.col("query_pos").cast("long")).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -520,7 +519,7 @@ def coordinates_lookup(spark, sf):
 
 
 def full_sites(spark, sf):
-    return research.research_sites(crawl(spark, sf), **HOT)
+    return research.research_sites(crawl(spark, sf))
 
 
 FLAT_SITE = [
@@ -675,7 +674,7 @@ def asked_words(spark, sf):
 
 @register("search_top5")
 def search_top5(spark, sf):
-    hits = M.ranked_hits(asked_words(spark, sf), C.articles(spark, sf), **HOT)
+    hits = M.ranked_hits(asked_words(spark, sf), C.articles(spark, sf))
     return hits.select(
         shown("word_set", " ").alias("words"), F.col("rank").cast("long").alias("rank"), "title", F.col("overlap").cast("long").alias("overlap")
     )
@@ -684,7 +683,7 @@ def search_top5(spark, sf):
 @register("first_match_wins")
 def first_match_wins(spark, sf):
     """Best article of each site over both ways of matching."""
-    return M.match_articles(site_names(spark, sf), C.articles(spark, sf), **HOT)
+    return M.match_articles(site_names(spark, sf), C.articles(spark, sf))
 
 
 @register("listing_row_number")
@@ -817,7 +816,7 @@ def page_facts(spark, sf):
 
 @register("article_facts")
 def article_facts(spark, sf):
-    matched = M.match_articles(site_names(spark, sf), C.articles(spark, sf), **HOT)
+    matched = M.match_articles(site_names(spark, sf), C.articles(spark, sf))
     rows = matched.join(M.article_facts(C.articles(spark, sf)), "title")
     return rows.select(
         "name", "title", "summary", "article_url", "arabic_title", "arabic_summary", "arabic_url", "historical_period",
@@ -856,7 +855,7 @@ def research_sites(spark, sf):
 
 @register("research_all")
 def research_all(spark, sf):
-    site = research.research_all(crawl(spark, sf), ["museums", "monuments"], max_sites=25, **HOT)
+    site = research.research_all(crawl(spark, sf), ["museums", "monuments"], max_sites=25)
     return flat_site(site)
 
 
@@ -892,8 +891,8 @@ def incremental_run(spark, sf):
     whole = crawl(spark, sf)
     store = incremental.Store(spark, shared_dir(spark))
     first = Crawl(labelled(spark, sf, whole.listing), whole.pages, whole.articles, whole.gazetteer)
-    incremental.run(first, store, mark_completed=False, **HOT)
-    incremental.run(whole, store, **HOT)
+    incremental.run(first, store, mark_completed=False)
+    incremental.run(whole, store)
     return store.processed().select("url", "name", "page_type", "status")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siteweave.operators import match as M
 from siteweave.operators import region as RG
+from siteweave.operators import search
 from siteweave.operators.joins import lookup_join, number_rows, without
 
 
@@ -64,23 +65,56 @@ def test_number_rows(spark, block_rows):
     assert [overall[row] for row in sorted(rows)] == list(range(1, len(rows) + 1))
 
 
-@pytest.mark.parametrize(("hot_titles", "hot_words"), [(3, 20000), (10, 2), (0, 20000), (10**6, 20000)])
-def test_ranked_hits_equal_brute_force(spark, hot_titles, hot_words):
-    """Random titles over few words, some in most titles; any split into common and rare words gives the same."""
-    rng = random.Random(hot_titles + hot_words)
-    vocabulary = ["temple", "tomb", "great"] + [f"w{i}" for i in range(25)]
-    weights = [30, 20, 10] + [1] * 25
-    titles = sorted({" ".join(dict.fromkeys(rng.choices(vocabulary, weights, k=rng.randint(1, 5)))) for _ in range(250)})
-    queries = [sorted(set(rng.choices(vocabulary + ["unseen"], weights + [2], k=rng.randint(1, 5)))) for _ in range(120)]
-    articles = spark.createDataFrame([("en", t) for t in titles], "lang STRING, title STRING")
-    asked = spark.createDataFrame([(q,) for q in queries], "word_set ARRAY<STRING>")
-    got = {}
-    for r in M.ranked_hits(asked, articles, hot_titles=hot_titles, hot_words=hot_words).collect():
-        got.setdefault(tuple(r.word_set), {})[r["rank"]] = (r.title, r.overlap)
+def hits_of(queries, titles):
+    out = {}
     for q in {tuple(q) for q in queries}:
         scored = [(len(set(q) & set(t.split())), t) for t in titles]
         best = sorted((s for s in scored if s[0]), key=lambda s: (-s[0], len(s[1]), s[1]))[:5]
-        assert got.get(q, {}) == {i + 1: (t, n) for i, (n, t) in enumerate(best)}
+        out[q] = {i + 1: (t, n) for i, (n, t) in enumerate(best)}
+    return out
+
+
+def searched(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(tuple(r.word_set), {})[r["rank"]] = (r.title, r.overlap)
+    return got
+
+
+@pytest.mark.parametrize(("common_titles", "common_words", "combo_words", "longest"), [
+    (3, 20000, 6, 5), (10, 2, 6, 5), (0, 20000, 2, 9), (10**6, 20000, 6, 5), (5, 20000, 1, 9), (2, 20000, 3, 12), (4, 20000, 0, 6)])
+def test_ranked_hits_equal_brute_force(spark, common_titles, common_words, combo_words, longest):
+    """Random titles over few words, some in most titles; any settings of the index give the same hits."""
+    rng = random.Random(common_titles + combo_words)
+    vocabulary = ["temple", "tomb", "great"] + [f"w{i}" for i in range(25)]
+    weights = [30, 20, 10] + [1] * 25
+    titles = sorted({" ".join(dict.fromkeys(rng.choices(vocabulary, weights, k=rng.randint(1, longest)))) for _ in range(250)})
+    queries = [sorted(set(rng.choices(vocabulary + ["unseen"], weights + [2], k=rng.randint(1, longest)))) for _ in range(120)]
+    articles = spark.createDataFrame([("en", t) for t in [*titles, titles[0]]] + [("en", "- ?"), ("en", None), ("ar", "temple")], "lang STRING, title STRING")
+    asked = spark.createDataFrame([(q,) for q in queries], "word_set ARRAY<STRING>")
+    index = M.title_index(articles, common_titles=common_titles, common_words=common_words, combo_words=combo_words, block=7)
+    want = {q: hits for q, hits in hits_of(queries, titles).items() if hits}
+    assert searched(search.ranked_hits(asked, index)) == want
+    assert searched(search.ranked_hits(asked, index, min_rows=2)) == want  # every key salted
+
+
+def test_search_looks_at_few_pairs(spark):
+    """"egypt" is in a third of the queries and of the titles; default settings."""
+    rng = random.Random(3)
+    rare = [f"r{i}" for i in range(900)]
+    titles = sorted({" ".join(rng.sample(rare, 2) + ["egypt"] * (i % 3 == 0) + ["temple"] * (i % 4 == 0) + ["of"] * (i % 5 == 0)) for i in range(3000)})
+    queries = [sorted({rng.choice(rare), "egypt" if i % 3 == 0 else rng.choice(rare), *(["temple", "of"][:i % 4])}) for i in range(600)] + [["egypt"], ["egypt", "of", "temple"]]
+    asked = spark.createDataFrame([(q,) for q in queries], "word_set ARRAY<STRING>")
+    index = M.title_index(spark.createDataFrame([("en", t) for t in titles], "lang STRING, title STRING"))
+    assert {r.word for r in index.common.collect()} == {"egypt", "temple", "of"}
+    assert searched(search.ranked_hits(asked, index)) == hits_of(queries, titles)
+    pairs = search.candidates(asked, index)
+    distinct = {tuple(q) for q in queries}
+    most = sum(5 + index.hits * 2 ** len(set(q) & {"egypt", "temple", "of"}) for q in distinct)
+    assert pairs.count() <= most
+    read = search._met(search._listed(search._asked(asked, index)), index.blocks, ["word", "long", "block"], 10**6).count()
+    holders = {w: sum(w in t.split() for t in titles) for w in rare}
+    assert read == sum(holders[w] for q in distinct for w in q if w in holders) < len(distinct) * 2 * search.COMMON_TITLES
 
 
 def km(a, b):

@@ -469,6 +469,17 @@ CTES: dict[str, tuple[list[str], str]] = {
         f"SELECT name, location, 1, name || ', {L.COUNTRY}' FROM names) JOIN (SELECT query, {address('state', 'province')} AS region FROM gazetteer "
         "WHERE rank = 1) USING (query) WHERE region IS NOT NULL GROUP BY ALL",
     ),
+    "saved_reverse": (
+        ["seeded"],
+        f"SELECT lat, lon, min(region) AS region FROM (SELECT try_cast({LAT_TEXT} AS DOUBLE) AS lat, try_cast({LON_TEXT} AS DOUBLE) AS lon, {address('state', 'province')} AS region "
+        "FROM seeded WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE lat IS NOT NULL AND lon IS NOT NULL AND region IS NOT NULL GROUP BY lat, lon",
+    ),
+    "nearest_of_any": (
+        ["site_points", "gazetteer_points"],
+        "SELECT lat, lon, best.place AS place, best.region AS region, best.km AS distance_km FROM (SELECT s.lat, s.lon, min({'km': "
+        f"{haversine('s.lat', 's.lon', 'p.lat', 'p.lon')}, 'place': p.place, 'region': p.region}}) AS best FROM (SELECT DISTINCT lat, lon FROM site_points "
+        "WHERE lat IS NOT NULL AND lon IS NOT NULL) s, gazetteer_points p GROUP BY s.lat, s.lon)",
+    ),
     "nearest": (
         ["site_points", "gazetteer_points"],
         "SELECT lat, lon, place, region, km AS distance_km FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY km, place) AS n FROM ("
@@ -497,13 +508,13 @@ CTES: dict[str, tuple[list[str], str]] = {
         f"SELECT r.*, latitude, longitude FROM page_rows r LEFT JOIN coords ON query = heading || ', {L.COUNTRY}'",
     ),
     "known": (
-        ["page_facts", "matched", "article_facts", "forward", "dictionary", "nearest_all"],
+        ["page_facts", "matched", "article_facts", "forward", "dictionary", "nearest_all", "saved_reverse"],
         f"SELECT f.*, 'site_' || lpad(number::VARCHAR, greatest(3, length(number::VARCHAR))::INT, '0') AS id, af.* EXCLUDE (title), coalesce(d.arabic, '') AS name_arabic, "
-        f"coalesce({known_place('f.name')}, {alias('f.location')}, fw.region, nr.region, f.location) AS governorate "
+        f"coalesce({known_place('f.name')}, {alias('f.location')}, fw.region, sr.region, nr.region, f.location) AS governorate "
         f"FROM (SELECT *, row_number() OVER (ORDER BY list_position({texts(L.PAGE_TYPES)}, page_type), pos) AS number FROM page_facts) f "
         "LEFT JOIN matched m ON m.name = f.name AND m.location = f.location LEFT JOIN article_facts af ON af.title = m.title "
         "LEFT JOIN forward fw ON fw.name = f.name AND fw.location = f.location LEFT JOIN dictionary d ON d.term = lower(trim(f.name)) "
-        "LEFT JOIN nearest_all nr ON nr.lat = f.latitude AND nr.lon = f.longitude",
+        "LEFT JOIN nearest_all nr ON nr.lat = f.latitude AND nr.lon = f.longitude LEFT JOIN saved_reverse sr ON sr.lat = f.latitude AND sr.lon = f.longitude",
     ),
     "nearest_all": (
         ["page_facts", "gazetteer_points"],

@@ -248,11 +248,11 @@ STATEMENTS["pronounce_lookup"] = site_terms(
 add("known_place_match", ["sites"], f"SELECT site_key, {Q.known_place('unique_name')} AS region FROM sites")
 add("alias_lookup", ["sites"], f"SELECT site_key, {Q.alias('location')} AS region FROM sites")
 add("forward_geocode", ["forward"], "SELECT name, location, region FROM forward")
-add("reverse_geocode", ["site_points", "nearest"], "SELECT site_key, place, region, round(distance_km, 6) AS distance_km FROM site_points LEFT JOIN nearest USING (lat, lon) WHERE lat IS NOT NULL AND lon IS NOT NULL")
+add("reverse_geocode", ["site_points", "nearest_of_any"], "SELECT site_key, place, region, round(distance_km, 6) AS distance_km FROM site_points LEFT JOIN nearest_of_any USING (lat, lon) WHERE lat IS NOT NULL AND lon IS NOT NULL")
 add(
-    "region_cascade", ["listing", "forward", "nearest", "site_points"],
-    f"SELECT pos AS site_key, l.name, coalesce({Q.known_place('l.name')}, {Q.alias('l.location')}, f.region, n.region, l.location) AS region FROM listing l "
-    "JOIN site_points p ON p.site_key = l.pos LEFT JOIN forward f ON f.name = l.name AND f.location = l.location LEFT JOIN nearest n ON n.lat = p.lat AND n.lon = p.lon",
+    "region_cascade", ["listing", "forward", "nearest", "saved_reverse", "site_points"],
+    f"SELECT pos AS site_key, l.name, coalesce({Q.known_place('l.name')}, {Q.alias('l.location')}, f.region, sr.region, n.region, l.location) AS region FROM listing l "
+    "JOIN site_points p ON p.site_key = l.pos LEFT JOIN forward f ON f.name = l.name AND f.location = l.location LEFT JOIN nearest n ON n.lat = p.lat AND n.lon = p.lon LEFT JOIN saved_reverse sr ON sr.lat = p.lat AND sr.lon = p.lon",
 )
 add("coordinates_lookup", ["listing", "coords"], f"SELECT name AS heading, url, latitude, longitude FROM listing LEFT JOIN coords ON query = name || ', {L.COUNTRY}'")
 FLAT = (

@@ -18,6 +18,16 @@ def hot_keys(fact: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> Data
     return counts.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).drop("_rows")
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark itself would broadcast ``df`` by the size it knows (files, local rows); never where rows are multiplied."""
+    frame = getattr(df, "_jdf", None)
+    if frame is None:
+        return False
+    plan = frame.queryExecution().optimizedPlan()
+    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return int(plan.stats().sizeInBytes()) <= limit and "Generate " not in plan.toString() and "Join " not in plan.toString()
+
+
 def lookup_join(
     fact: DataFrame,
     answers: DataFrame,
@@ -30,9 +40,11 @@ def lookup_join(
     Rows of a hot key carry one of ``SALTS`` salts, taken from ``spread_by``, and its answer is there once per
     salt; so do rows with a null key, which match nothing.  Hot keys without an answer are spread alike.  All other
     rows and answers have salt 0.  The salt is data on both sides, so it takes part in the partitioning.  Only the
-    hot keys, not their answers, are broadcast.
+    hot keys, not their answers, are broadcast.  Answers that Spark broadcasts by their known size need none of this.
     """
     values = [c for c in answers.columns if c not in keys]
+    if is_small(answers):
+        return fact.join(answers, keys, "left").select(*fact.columns, *values)
     hot = hot_keys(fact.select(*keys), keys, min_rows).withColumn("_hot", F.lit(True))
     marked = fact.join(F.broadcast(hot), keys, "left")
     missing = reduce(or_, [F.col(k).isNull() for k in keys])

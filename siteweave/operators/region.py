@@ -1,18 +1,15 @@
 """Region and coordinates of a place, from saved geocoder answers and known points."""
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave import lexicons as L
 from siteweave.functions import extract as X
 from siteweave.functions import rules as R
+from siteweave.operators import nearest as near
+from siteweave.session import staged
 
-EARTH_KM = 6371.0088
-CELLS = (0.01, 0.05, 0.25, 1.25, 5.0, 30.0, 120.0)  # degrees, fine to coarse; all divide 360, the last covers the globe
-MAX_KM = 20.0
-POLAR = 80.0                # latitude up to which the cells for a distance are chosen
+MAX_KM = 20.0   # how far a known place may be to decide a region; None: any distance
 
 
 def first_answers(gazetteer: DataFrame) -> DataFrame:
@@ -51,81 +48,31 @@ def coordinates(headings: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return asked.join(answers, "query").drop("query")
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in km."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(
-        F.radians(lat2)
-    ) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
-def _levels(max_km: float | None) -> list[float]:
-    """Cells fine to coarse until nine of them cover ``max_km`` up to the polar latitude, and the globe for what is beyond."""
-    if max_km is None:
-        return list(CELLS)
-    enough = [c for c in CELLS if c < 90 and EARTH_KM * math.asin(math.cos(math.radians(POLAR)) * math.sin(math.radians(c))) >= max_km]
-    return [*[c for c in CELLS if not enough or c <= enough[0]], *([CELLS[-1]] if enough else [])]
-
-
 def nearest_regions(points: DataFrame, known: DataFrame, max_km: float | None = MAX_KM) -> DataFrame:
     """(lat, lon) to the nearest known point within ``max_km`` (None: at any distance): place, region, distance_km.
 
-    The grid goes from fine to coarse.  At each level a site meets only the points in its own and the
-    eight cells around it, across the date line too; once its best point is nearer than anything outside those cells
-    can be, or those cells cover ``max_km``, the answer is final and the site leaves the search.  So sites in a
-    crowded spot, however many, finish among the few points next to them, and coarse cells serve only sites with nothing
-    near.  Sites are distinct coordinates, and known points at one spot count once (least place name).
+    Sites are distinct coordinates, and known points at one spot count once (least place name).  See ``nearest``.
     """
-    state = points.filter("lat is not null and lon is not null").select("lat", "lon").distinct().select(
-        "lat", "lon", F.lit(None).cast("struct<km:double,place:string,region:string>").alias("best"),
-        F.lit(False).alias("done"),
-    )
-    spots = known.filter("lat is not null and lon is not null").groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(
-        F.min(F.struct("place", "region")).alias("spot")
-    )
-    for cell in _levels(max_km):
-        state = _grid_step(state, spots, cell, max_km)
-    return state.filter("best is not null").select(
-        "lat", "lon", "best.place", "best.region", F.col("best.km").alias("distance_km")
-    )
+    return near.nearest(points, near.build(known), max_km)
 
 
-def _grid_step(state: DataFrame, spots: DataFrame, cell: float, max_km: float | None) -> DataFrame:
-    around = [F.lit(d) for d in (-1, 0, 1)]
-    columns = round(360 / cell)
-    tiles = (
-        spots.withColumn("dy", F.explode(F.array(*around)))
-        .withColumn("dx", F.explode(F.array(*around)))
-        .withColumn("cy", F.floor(F.col("plat") / cell) + F.col("dy"))
-        .withColumn("cx", F.pmod(F.floor(F.col("plon") / cell) + F.col("dx"), F.lit(columns)))
-        .select("cy", "cx", "plat", "plon", "spot")
-    )
-    # finished sites get cells that no point has, spread over many values
-    spread = F.pmod(F.xxhash64("lat", "lon"), F.lit(100_000))
-    placed = state.withColumn(
-        "cy", F.when(F.col("done"), F.lit(-1_000_000_000)).otherwise(F.floor(F.col("lat") / cell))
-    ).withColumn("cx", F.when(F.col("done"), spread).otherwise(F.pmod(F.floor(F.col("lon") / cell), F.lit(columns))))
-    km = haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    seen = F.struct(km.alias("km"), F.col("spot.place").alias("place"), F.col("spot.region").alias("region"))
-    near = F.col("plat").isNotNull() if max_km is None else F.col("plat").isNotNull() & (km <= max_km)
-    met = placed.join(tiles, ["cy", "cx"], "left").withColumn("seen", F.when(near, seen))
-    best = met.groupBy("lat", "lon").agg(
-        F.min("seen").alias("seen"), F.max("done").alias("was_done"), F.max("best").alias("old")
-    )
-    if cell >= CELLS[-1]:
-        covered = F.lit(True)
+def reverse_regions(points: DataFrame, known: DataFrame | None, saved: DataFrame | None = None, max_km: float | None = MAX_KM) -> DataFrame:
+    """(lat, lon) to region: a saved reverse-geocoder answer that names one, else the nearest known point's.
+
+    ``saved`` (lat, lon, address) holds the answers for exactly these coordinates; of several the least region counts.
+    Only coordinates without an answer are searched.
+    """
+    sites = points.filter("lat is not null and lon is not null").select("lat", "lon").distinct()
+    if saved is None:
+        answered = sites.limit(0).select("lat", "lon", F.lit(None).cast("string").alias("region"))
     else:
-        # anything outside the nine cells is a cell's height away, or beyond a meridian a cell's width away
-        side = F.asin(F.least(F.lit(1.0), F.cos(F.radians("lat")) * math.sin(math.radians(min(cell, 90.0)))))
-        reach = EARTH_KM * F.least(F.lit(math.radians(cell)), side)
-        covered = F.coalesce(F.col("seen.km") < reach, F.lit(False))
-        if max_km is not None:
-            covered = covered | (reach > max_km)
-    return best.select(
-        "lat", "lon",
-        F.when(F.col("was_done"), F.col("old")).otherwise(F.col("seen")).alias("best"),
-        (F.col("was_done") | covered).alias("done"),
-    )
+        named = saved.select("lat", "lon", X.address_region(F.col("address")).alias("region")).filter("region is not null")
+        answered = sites.join(named.groupBy("lat", "lon").agg(F.min("region").alias("region")), ["lat", "lon"])
+    if known is None:
+        return answered
+    found = staged(answered)
+    rest = sites.join(found.select("lat", "lon"), ["lat", "lon"], "left_anti")
+    return found.unionByName(nearest_regions(rest, known, max_km).select("lat", "lon", "region"))
 
 
 def cheap_region(name: Column, location: Column) -> Column:

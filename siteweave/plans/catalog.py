@@ -49,7 +49,7 @@ def count(c: Column | str) -> Column:
 def crawl(spark: SparkSession, sf: str) -> Crawl:
     return Crawl(
         C.listing(spark, sf), C.detail_pages(spark, sf), C.articles(spark, sf), C.gazetteer(spark, sf),
-        C.gazetteer_points(spark, sf),
+        C.gazetteer_points(spark, sf), C.reverse_answers(spark, sf),
     )
 
 
@@ -491,7 +491,7 @@ def forward_geocode(spark, sf):
 @register("reverse_geocode")
 def reverse_geocode(spark, sf):
     points = C.site_points(spark, sf)
-    nearest = RG.nearest_regions(points, C.gazetteer_points(spark, sf))
+    nearest = RG.nearest_regions(points, C.gazetteer_points(spark, sf), max_km=None)
     rows = lookup_join(points.filter("lat is not null and lon is not null"), nearest, ["lat", "lon"], ["site_key"])
     return rows.select("site_key", "place", "region", F.round("distance_km", 6).alias("distance_km"))
 
@@ -506,7 +506,7 @@ def region_cascade(spark, sf):
     points = C.site_points(spark, sf)
     located = answered.join(points, "site_key")
     unplaced = located.filter(RG.cheap_region(F.col("name"), F.col("location")).isNull() & F.col("forward").isNull())
-    nearest = RG.nearest_regions(unplaced, C.gazetteer_points(spark, sf)).select("lat", "lon", F.col("region").alias("reverse"))
+    nearest = RG.reverse_regions(unplaced, C.gazetteer_points(spark, sf), C.reverse_answers(spark, sf)).withColumnRenamed("region", "reverse")
     placed = lookup_join(located, nearest, ["lat", "lon"], ["site_key"])
     region = RG.resolve_region(F.col("name"), F.col("location"), F.col("forward"), F.col("reverse"))
     return placed.select("site_key", "name", region.alias("region"))

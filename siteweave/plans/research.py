@@ -28,6 +28,7 @@ class Crawl:
     articles: DataFrame
     gazetteer: DataFrame
     known_points: DataFrame | None = None
+    reverse: DataFrame | None = None
     place_info: DataFrame | None = None
 
 
@@ -181,14 +182,12 @@ def research_sites(
     located = staged(with_coordinates(rows, crawl.gazetteer, min_rows))
     known = lookup_join(located, answers, ["name", "location"], ["url"], min_rows)
     reverse = None
-    if crawl.known_points is not None:
+    if crawl.known_points is not None or crawl.reverse is not None:
         known = known.withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
         open_points = located.filter(RG.cheap_region(F.col("name"), F.col("location")).isNull()).select(
             F.col("latitude").alias("lat"), F.col("longitude").alias("lon")
         )
-        nearest = RG.nearest_regions(open_points, crawl.known_points).select(
-            "lat", "lon", F.col("region").alias("reverse_region")
-        )
+        nearest = RG.reverse_regions(open_points, crawl.known_points, crawl.reverse).withColumnRenamed("region", "reverse_region")
         known = lookup_join(known, nearest, ["lat", "lon"], ["url"], min_rows)
         known = known.withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
         reverse = F.col("reverse_region")

@@ -233,6 +233,16 @@ def site_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reverse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved reverse-geocoder answers: those for the coordinates of labelled documents."""
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    fields = F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in ("state", "province")])
+    address = F.map_from_entries(F.filter(fields, lambda e: e["value"].isNotNull()))
+    return seeded(spark, sf_dir).join(labels, "doc_id", "left_semi").select(
+        _lat_text().try_cast("double").alias("lat"), _lon_text().try_cast("double").alias("lon"), address.alias("address")
+    )
+
+
 def gazetteer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known places with coordinates, one per customer."""
     regions = F.array(*[F.lit(r) for r in L.REGION_NAMES])

@@ -465,5 +465,5 @@ add(
 
 # ---- streams --------------------------------------------------------------------------------------------
 add("incremental_listing", ["listing"], "SELECT * FROM listing")
-add("stream_dedup", ["listing"], "SELECT DISTINCT page_type, 'https:/' || page_type || '/' || substr(name, 1, 6) AS url FROM listing")
+add("stream_dedup", ["listing"], "SELECT DISTINCT page_type, url FROM listing")
 add("incremental_updates", [], "SELECT page_id, url FROM pages WHERE page_id IN (SELECT doc_id FROM labels)")

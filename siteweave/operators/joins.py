@@ -6,10 +6,11 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteweave.session import staged
+
 HOT_KEYS = 10_000       # most keys that are split; any other key has less than 1/10,000 of the rows
 HOT_ROWS = 1_000_000    # rows from which a key is worth splitting
 SALTS = 64
-BLOCK_ROWS = 100_000    # positions per numbering block
 
 
 def hot_keys(fact: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
@@ -61,35 +62,22 @@ def without(fact: DataFrame, known: DataFrame, key: str, spread_by: list[str], m
     return lookup_join(fact, marks, [key], spread_by, min_rows).filter("_known is null").drop("_known")
 
 
-def number_rows(
-    df: DataFrame,
-    position: str,
-    number: str,
-    groups: list[str] | None = None,
-    order: Column | None = None,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def number_rows(df: DataFrame, position: str, number: str, groups: list[str] | None = None, order: Column | None = None) -> DataFrame:
     """Running number 1, 2, 3, ... by ``position``, per group or (with ``order``) over all groups.
 
-    A window over a whole group would put it into one task.  Positions are page order, unique within
-    their group, so blocks of ``block_rows`` positions are bounded: rows are numbered inside a block, and
-    the rows of the blocks before (one row per block) are added.  Rows without a position come last in their
-    group, in the order of a hash of all their columns; a null group is a group of its own.
+    A window over a group would put it into one task.  Rows are range-partitioned by order, group, position and a hash of all
+    columns, and written with their place in their partition; how many rows the partitions before hold (one row per partition, or
+    per partition and group) is added.  Equal and missing positions are split by the hash, so whatever share of the rows has none,
+    they are dealt like all others.  Rows without a position come last in their group; a null group is a group of its own.
     """
     groups = groups or []
-    blocked = df.withColumn("_block", F.floor(F.col(position) / block_rows))
-    block_keys = [*groups, "_block"]
-    sizes = blocked.groupBy(*block_keys).agg(F.count(F.lit(1)).alias("_size"))
-    whole = Window.partitionBy(F.lit(0)) if order is not None else Window.partitionBy(*groups or [F.lit(0)])
-    last = F.col("_block").asc_nulls_last()
-    sequence = [order, *groups, last] if order is not None else [last]
-    before = F.coalesce(F.sum("_size").over(whole.orderBy(*sequence).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(block_keys)], before.alias("_before"))
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(block_keys)])
-    inside = F.row_number().over(Window.partitionBy(*block_keys).orderBy(F.col(position), F.xxhash64(*df.columns)))
-    return (
-        blocked.withColumn("_inside", inside)
-        .join(offsets, same)
-        .withColumn(number, F.col("_before") + F.col("_inside"))
-        .select(*df.columns, number)
-    )
+    keys = [*([order] if order is not None else []), *[F.col(g) for g in groups], F.col(position).asc_nulls_last(), F.xxhash64(*df.columns)]
+    placed = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    within = ["_part"] if order is not None else ["_part", *groups]
+    counts = placed.groupBy(*within).agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*within[1:]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    offsets = before.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(within)], "_before", "_first")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(within)])
+    return placed.join(offsets, same).withColumn(number, F.col("_before") + F.col("_place") - F.col("_first") + 1).select(*df.columns, number)

@@ -424,7 +424,7 @@ def listing_detail_join(spark, sf):
 @register("language_pair_join")
 def language_pair_join(spark, sf):
     rows = C.listing(spark, sf).select("url", "name", T.arabic_url(F.col("url")).alias("arabic_url"))
-    names = research.arabic_names(C.detail_pages(spark, sf))
+    names = research.arabic_names(research.page_contents(C.detail_pages(spark, sf)))
     return rows.join(names, "arabic_url", "left").select("url", "name", F.coalesce("arabic_name", F.lit("")).alias("arabic_name"))
 
 
@@ -918,10 +918,12 @@ def incremental_listing(spark, sf):
 
 @register("stream_dedup")
 def stream_dedup(spark, sf):
-    path, checkpoint = shared_dir(spark), shared_dir(spark)
-    rows = listing_stream(spark, sf).select("page_type", F.concat_ws("/", F.lit("https:"), "page_type", F.substring("name", 1, 6)).alias("url"))
-    intake.distinct_addresses(rows, path, checkpoint).awaitTermination()
-    return spark.read.schema("page_type STRING, url STRING").parquet(path)
+    """Each listing address once, from a stream that holds every row twice and is then read again by another query."""
+    path = shared_dir(spark)
+    for _ in range(2):
+        rows = listing_stream(spark, sf).select("page_type", "url")
+        intake.distinct_addresses(rows.unionByName(listing_stream(spark, sf).select("page_type", "url")), path, shared_dir(spark)).awaitTermination()
+    return spark.read.schema("page_type STRING, url STRING").parquet(path).select("page_type", "url")
 
 
 @register("incremental_updates")

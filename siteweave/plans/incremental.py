@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siteweave import lexicons as L
 from siteweave import schemas as S
 from siteweave.functions import text as T
-from siteweave.operators import metrics
+from siteweave.operators import match, metrics
 from siteweave.operators.joins import HOT_ROWS, lookup_join, number_rows, without
 from siteweave.plans import export, research
 from siteweave.plans.research import Crawl
@@ -17,10 +17,14 @@ from siteweave.session import local_table, staged
 from siteweave.sources import tables
 
 
-def page_types_of(listing: DataFrame) -> list[str]:
-    """The known page types in their order, then any others that the listing has (names of types, not rows)."""
+def page_types_of(listing: DataFrame) -> list[str | None]:
+    """The known page types in their order, then any others that the listing has, null last (names of types, not rows)."""
     found = {row["page_type"] for row in listing.select("page_type").distinct().collect()}
-    return [*L.PAGE_TYPES, *sorted(t for t in found if t is not None and t not in L.PAGE_TYPES)]
+    return [*L.PAGE_TYPES, *sorted(t for t in found if t is not None and t not in L.PAGE_TYPES), *([None] if None in found else [])]
+
+
+def of_type(listing: DataFrame, page_type: str | None) -> DataFrame:
+    return listing.filter(F.col("page_type").eqNullSafe(F.lit(page_type).cast("string")))
 
 
 def dry_run_rows(listing: DataFrame, existing: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -51,7 +55,8 @@ def dry_run(
 
 def pending_types(listing: DataFrame, completed: DataFrame) -> DataFrame:
     """Listing rows of page types that are not finished."""
-    return listing.join(completed.select("page_type").distinct(), "page_type", "left_anti")
+    done = completed.select("page_type").distinct()
+    return listing.join(done, listing["page_type"].eqNullSafe(done["page_type"]), "left_anti")
 
 
 def pending_sites(
@@ -80,7 +85,7 @@ def pending_by_type(listing: DataFrame, processed: DataFrame, min_rows: int = HO
     done = processed.select("url", "name")
     kept = []
     for page_type in page_types_of(listing):
-        rows = staged(pending_sites(listing.filter(F.col("page_type") == page_type), done, None, min_rows))
+        rows = staged(pending_sites(of_type(listing, page_type), done, None, min_rows))
         done = done.unionByName(rows.select("url", "name"))
         kept.append(rows)
     result, *rest = kept
@@ -187,7 +192,7 @@ def run(
             continue
         batch = f"{name}-{rank:03d}"
         existing = store.existing(batch) if skip_existing else None
-        rows = research.first_of_each_type(crawl.listing.filter(F.col("page_type") == page_type), max_sites)
+        rows = research.first_of_each_type(of_type(crawl.listing, page_type), max_sites)
         todo = staged(pending_sites(rows, store.processed(batch, retry_failed), existing))
         if todo.isEmpty():
             if mark_completed:
@@ -197,6 +202,8 @@ def run(
         wanted = todo.select(F.explode(F.array("url", T.arabic_url(F.col("url")))).alias("url")).distinct()
         pages = staged(crawl.pages.join(wanted, "url", "left_semi"))
         part = replace(crawl, listing=todo, pages=pages)
+        if "index" not in options:
+            options["index"] = match.title_index(crawl.articles)  # once for all batches of the run
         site = research.research_sites(part, first_number=store.last_number(batch), **options)
         found = pages.select("url", F.lit(True).alias("_found")).distinct()
         progress = todo.join(found, "url", "left").select(

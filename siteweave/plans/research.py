@@ -40,18 +40,29 @@ def type_rank(page_types: list[str] | None = None) -> Column:
 
 
 def one_per(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: the least by all other columns, nulls last (a snapshot may hold a row twice)."""
+    """One row per key: the least by all other columns, nulls last (a snapshot may hold a row twice).
+
+    Repeated keys are found from the key columns alone.  Only their rows are compared, so a snapshot without repeats
+    passes through without a shuffle of its other columns.
+    """
+    repeated = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys))
+    if repeated.isEmpty():
+        return rows
     others = [c for c in rows.columns if c not in keys]
     order = F.struct(*[F.struct(F.col(c).isNull(), F.to_json(c) if isinstance(rows.schema[c].dataType, MapType) else F.col(c)) for c in others])
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row")).select(*keys, "_row.*")
+    several = rows.join(repeated, list(keys), "left_semi")
+    one = several.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row")).select(*keys, "_row.*")
+    return rows.join(repeated, list(keys), "left_anti").unionByName(one.select(*rows.columns))
 
 
 def snapshot(crawl: "Crawl") -> "Crawl":
-    """The inputs with one row per page, article and answer, and blank instead of null listing texts."""
+    """The inputs with one row per article and answer, and blank instead of null listing texts.
+
+    Pages are reduced in ``page_rows``, when their markup has been read.
+    """
     blank = {c: "" for c in ("name", "location", "description", "image")}
     return replace(
-        crawl, listing=crawl.listing.fillna(blank), pages=one_per(crawl.pages, "url"), articles=one_per(crawl.articles, "lang", "title"),
-        gazetteer=one_per(crawl.gazetteer, "query", "rank"),
+        crawl, listing=crawl.listing.fillna(blank), articles=one_per(crawl.articles, "lang", "title"), gazetteer=one_per(crawl.gazetteer, "query", "rank"),
         place_info=None if crawl.place_info is None else one_per(crawl.place_info, "name"),
     )
 
@@ -72,32 +83,32 @@ def of_types(listing: DataFrame, page_types: list[str] | None) -> DataFrame:
 
 
 def page_contents(pages: DataFrame) -> DataFrame:
-    """What a detail page says: heading (null if there is none), description, gallery images."""
+    """What a page says: heading (null if there is none), description, gallery images, Arabic heading; markup is read once."""
     seen = F.col("seen")
     return pages.select("url", H.visible(F.col("html")).alias("seen")).select(
         "url",
         H.page_title(seen, F.lit(None).cast("string")).alias("page_heading"),
         H.description(seen).alias("full_description"),
         H.images(seen, F.lit(None).cast("string"), limit=L.MAX_IMAGES + 1).alias("gallery"),
+        H.arabic_heading(seen).alias("arabic_name"),
     )
 
 
-def arabic_names(pages: DataFrame) -> DataFrame:
+def arabic_names(contents: DataFrame) -> DataFrame:
     """Arabic headings by page address."""
-    return pages.select(
-        F.col("url").alias("arabic_url"), H.arabic_heading(H.visible(F.col("html"))).alias("arabic_name")
-    ).filter("arabic_name <> ''")
+    return contents.select(F.col("url").alias("arabic_url"), "arabic_name").filter("arabic_name <> ''")
 
 
 def page_rows(listing: DataFrame, pages: DataFrame) -> DataFrame:
     """Listing rows with their page's content, classes and Arabic name; rows without a page are dropped.
 
-    Pages are read before the joins, so the shuffle carries texts, not markup.
+    Each page is read once, before any shuffle; its texts are written, and the joins carry texts, not markup.
     """
+    contents = one_per(staged(page_contents(pages)), "url")
     joined = (
-        listing.join(page_contents(pages), "url")
+        listing.join(contents.drop("arabic_name"), "url")
         .withColumn("arabic_url", T.arabic_url(F.col("url")))
-        .join(arabic_names(pages), "arabic_url", "left")
+        .join(arabic_names(contents), "arabic_url", "left")
     )
     listed = F.when(F.coalesce("image", F.lit("")) != "", F.array("image")).otherwise(F.array().cast("array<string>"))
     texts = joined.select(

@@ -60,6 +60,21 @@ def test_hot_and_null_keys_are_spread(spark):
             spark.conf.set(k, v)
 
 
+def test_numbering_deals_rows_without_position(spark):
+    """A third of the rows have no position: no task sorts much more than its share."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id") * 1000).alias("p"), (F.col("id") % 2).alias("t"), "id")
+    numbered = number_rows(rows, "p", "n", ["t"])
+    found = numbered.collect()
+    for t in (0, 1):
+        mine = sorted((r for r in found if r.t == t), key=lambda r: r.n)
+        assert [r.n for r in mine] == list(range(1, 15_001))
+        assert [r.p for r in mine if r.p is not None] == sorted(r.p for r in mine if r.p is not None) and all(r.p is None for r in mine[10_000:])
+    keys = [F.col("t"), F.col("p").asc_nulls_last(), F.xxhash64("p", "t", "id")]
+    sizes = [r["count"] for r in rows.repartitionByRange(8, *keys).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 30_000 / 8
+    assert number_rows(rows.limit(0), "p", "n", ["t"]).collect() == [] and number_rows(rows.limit(0), "p", "n", order=F.col("t")).collect() == []
+
+
 def test_number_rows_without_position_or_group(spark):
     rows = [("a", 5), ("a", None), (None, 2), (None, 1), ("a", 300_000)]
     df = spark.createDataFrame(rows, "t STRING, p LONG")
@@ -67,13 +82,12 @@ def test_number_rows_without_position_or_group(spark):
     assert got == {("a", 5): 1, ("a", 300_000): 2, ("a", None): 3, (None, 1): 1, (None, 2): 2}
 
 
-@pytest.mark.parametrize("block_rows", [3, 7, 1000])
-def test_number_rows(spark, block_rows):
+def test_number_rows(spark):
     rng = random.Random(1)
     rows = [(t, p) for t, n in (("b", 40), ("a", 23), ("c", 1)) for p in rng.sample(range(200), n)]
     df = spark.createDataFrame(rows, "t STRING, p LONG")
-    per_type = {(r.t, r.p): r.n for r in number_rows(df, "p", "n", ["t"], block_rows=block_rows).collect()}
-    overall = {(r.t, r.p): r.n for r in number_rows(df, "p", "n", ["t"], order=F.ascii("t"), block_rows=block_rows).collect()}
+    per_type = {(r.t, r.p): r.n for r in number_rows(df, "p", "n", ["t"]).collect()}
+    overall = {(r.t, r.p): r.n for r in number_rows(df, "p", "n", ["t"], order=F.ascii("t")).collect()}
     for kind in "abc":
         positions = sorted(p for t, p in rows if t == kind)
         assert [per_type[kind, p] for p in positions] == list(range(1, len(positions) + 1))

@@ -210,8 +210,8 @@ def test_stream_after_a_run(spark, crawl):
 
 
 def test_other_types_orders_repeats_and_blanks(spark, crawl):
-    """A fifth page type, types in the caller's order, snapshot rows stored twice, a null location and position."""
-    extra = [("https://s/en/gardens/5", "Rose Garden", None, "x", "", "gardens", 1), ("https://s/en/gardens/6", "Palm Garden", "", "x", "", "gardens", None)]
+    """A fifth page type and a null one, types in the caller's order, snapshot rows stored twice, a null location and position."""
+    extra = [("https://s/en/gardens/5", "Rose Garden", None, "x", "", "gardens", 1), ("https://s/en/gardens/6", "Palm Garden", "", "x", "", "gardens", None), ("https://s/en/x/7", "Odd Mound", "", "x", "", None, 1)]
     pages = [(u, f"<h1>G</h1><p>{KEEP}A garden.</p>") for u, *_ in extra]
     listing = spark.createDataFrame(LISTING + extra, S.LISTING)
     twice = Crawl(
@@ -219,8 +219,10 @@ def test_other_types_orders_repeats_and_blanks(spark, crawl):
     )
     store = incremental.Store(spark, shared_dir(spark))
     incremental.run(twice, store)
-    assert numbers(store) == {"Kom el-Dikka": "site_001", "Karnak Temple": "site_002", "Gem Hall": "site_003", "Rose Garden": "site_004", "Palm Garden": "site_005"}
-    assert {r.page_type for r in store.completed().collect()} >= {"gardens", "museums"}
+    assert numbers(store) == {"Kom el-Dikka": "site_001", "Karnak Temple": "site_002", "Gem Hall": "site_003", "Rose Garden": "site_004", "Palm Garden": "site_005", "Odd Mound": "site_006"}
+    assert {r.page_type for r in store.completed().collect()} >= {"gardens", "museums", None}
+    assert incremental.pending_types(listing, store.completed()).isEmpty()
+    assert incremental.pending_by_type(listing, store.processed().limit(0)).count() == listing.count()
     ordered = research.research_all(twice, ["museums", "gardens", "monuments"]).select("id", "name").collect()
     assert sorted((r.id, r["name"]) for r in ordered) == [("site_001", "Gem Hall"), ("site_002", "Rose Garden"), ("site_003", "Palm Garden"), ("site_004", "Karnak Temple")]
 
@@ -246,3 +248,32 @@ def test_changed_pages(spark, crawl):
     edited = crawl.pages.withColumn("html", F.when(F.col("url").endswith("/3"), F.lit("new")).otherwise(F.col("html")))
     assert incremental.changed_pages(crawl.pages, stored).count() == 0
     assert [r.url for r in incremental.changed_pages(edited, stored).collect()] == ["https://s/en/museums/3"]
+
+
+def test_pages_are_parsed_once_and_markup_is_not_shuffled(spark, crawl):
+    plan = research.page_contents(crawl.pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    rows = research.page_rows(crawl.listing, crawl.pages.unionByName(crawl.pages))
+    assert rows.count() == 3 and "html" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_addresses_over_ten_batches(spark, monkeypatch):
+    """Addresses repeat within and across batches, also when the filter is full; its size stays within its bound."""
+    for bits in (intake.FILTER_BITS, 64):
+        monkeypatch.setattr(intake, "FILTER_BITS", bits)
+        folder, path, checkpoint = (shared_dir(spark) for _ in range(3))
+        seen = set()
+        for n in range(10):
+            urls = [f"https://s/{i}" for i in range(n * 30, n * 30 + 60)] * 2 + [None]
+            spark.createDataFrame([(u, u, "", "", "", "t", n) for u in urls], S.LISTING).coalesce(1).write.mode("append").parquet(folder)
+            stream = intake.listing_stream(spark, folder).select("page_type", "url")
+            intake.distinct_addresses(stream, path, checkpoint).awaitTermination()
+            seen |= set(urls)
+        got = [r.url for r in spark.read.schema("page_type STRING, url STRING").parquet(path).collect()]
+        assert len(got) == len(seen) == len(set(got)) and set(got) == seen
+        for slot in (0, 1):
+            state = spark.read.parquet(f"{checkpoint}-filter/{slot}")
+            assert sum(len(r.bits) for r in state.collect()) <= max(1, bits // 32768) * 4096
+    again = intake.distinct_addresses(intake.listing_stream(spark, folder).select("page_type", "url"), path, shared_dir(spark))  # another query
+    again.awaitTermination()
+    assert spark.read.schema("page_type STRING, url STRING").parquet(path).count() == len(seen)

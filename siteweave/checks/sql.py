@@ -346,6 +346,26 @@ SUBS = " || ".join(
     for p, prefix in L.SUB_LOCATION_PATTERNS
 )
 
+NOTICE_DAY = f"({texts(L.WEEKDAYS)})[(length(line) + li - 1) % 7 + 1]"
+NOTICE_HOUR, NOTICE_MINUTE = "(length(line) % 12 + 1)", "lpad((length(line) * 7 % 60)::VARCHAR, 2, '0')"
+NOTICE = (
+    f"CASE length(line) % 5 WHEN 0 THEN {NOTICE_DAY} || ': ' || {NOTICE_HOUR} || ':' || {NOTICE_MINUTE} || ' AM - ' || (length(line) % 7 + 1) || ' PM' "
+    f"WHEN 1 THEN {NOTICE_DAY} || ' closed' "
+    f"WHEN 2 THEN lower({NOTICE_DAY}) || ' ' || lpad({NOTICE_HOUR}::VARCHAR, 2, '0') || ':' || {NOTICE_MINUTE} || '–' || ({NOTICE_HOUR} + 9) || ':30' "
+    f"WHEN 3 THEN {NOTICE_DAY} || ' ' || {NOTICE_HOUR} || ' am to ' || (length(line) % 5 + 3) || ' PM' "
+    f"ELSE 'Open daily from ' || {NOTICE_HOUR} END"
+)
+TOLD_HOURS = f"CASE (doc_id + li - 1) % 3 WHEN 0 THEN {NOTICE} || ' ' || line WHEN 1 THEN line || ' ' || {NOTICE} ELSE line END"
+
+
+def placed(key: str, notice: str) -> str:
+    first = "string_split(body, chr(10))[1]"
+    return (
+        f"CASE {key} % 4 WHEN 0 THEN {notice} || ' ' || body WHEN 1 THEN body || ' ' || {notice} "
+        f"WHEN 2 THEN {first} || ' ' || {notice} || substr(body, length({first}) + 1) ELSE body END"
+    )
+
+
 CTES: dict[str, tuple[list[str], str]] = {
     "seed": ([], _values(C.SEEDS, "k, seed_name, hint, phrase, article_title, arabic_name, has_page, geo, state, province")),
     "seeded": (["seed"], f"SELECT *, {UNIQUE} AS unique_name FROM (SELECT doc_id, text, doc_id % 24 AS k FROM documents) JOIN seed USING (k)"),
@@ -398,12 +418,17 @@ CTES: dict[str, tuple[list[str], str]] = {
         "SELECT 'Place ' || c_custkey AS place, 21 + (c_custkey * 17 % 1100) / 100.0::DOUBLE AS lat, "
         f"24 + (c_custkey * 29 % 1300) / 100.0::DOUBLE AS lon, ({texts(L.REGION_NAMES)})[c_nationkey + 1] AS region FROM customer",
     ),
-    "map_seed": ([], _values(C.MAP_SEEDS, "m, hours_text, rating_text, review_text")),
     "map_captures": (
-        ["map_seed"],
-        "SELECT event_id, hours_text, rating_text, review_text, CASE WHEN event_id % 10 = 0 THEN 'https://maps.example/' ELSE "
-        "'https://maps.example/place/@' || (event_id % 32) || '.' || (event_id % 977) || ',-' || (event_id % 60) || '.' || (event_id % 991) || ',15z' END AS map_url "
-        "FROM events JOIN map_seed ON event_id % 7 = m",
+        [],
+        f"SELECT doc_id, array_to_string(list_transform(string_split(body, chr(10)), lambda line, li: {TOLD_HOURS}), chr(10)) AS hours_text, "
+        f"{placed('doc_id', 'rated')} AS rating_text, {placed('(doc_id + 1)', 'reviewed')} AS review_text, map_url "
+        "FROM (SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS size, ((size // 10) % 7) || '.' || (size % 10) || ' stars' AS rated, "
+        "format('{:,}', size * (doc_id % 5 + 1)) AS number, "
+        "CASE size % 3 WHEN 0 THEN '(' || number || ') Reviews' WHEN 1 THEN number || ' reviews' ELSE number || 'REVIEW' END AS reviewed FROM documents) "
+        "LEFT JOIN (SELECT page_id AS doc_id, length(html) AS markup, "
+        "'/@' || (markup % 32) || '.' || markup || ',-' || (markup % 60) || '.' || length(url) || ',15z' AS point, "
+        "CASE WHEN markup % 10 = 0 THEN url WHEN markup % 2 = 0 THEN url || point ELSE regexp_replace(url, '^(https?://[^/]*)', '\\1' || point) END AS map_url "
+        "FROM pages) USING (doc_id)",
     ),
     "names": (["listing"], "SELECT DISTINCT name, location FROM listing"),
     "en_titles": (["articles"], f"SELECT title, {words('title')} AS title_words, summary FROM articles WHERE lang = 'en'"),

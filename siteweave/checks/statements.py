@@ -153,7 +153,7 @@ add(
     f"try_cast(coalesce({', '.join(PRICES)}) AS BIGINT) AS amount FROM sites",
 )
 MAPS = ["map_captures"]
-add("hours_text_flag", MAPS, f"SELECT event_id, {Q.any_contains('lower(hours_text)', L.HOURS_MARKS)} AS has_hours FROM map_captures")
+add("hours_text_flag", MAPS, f"SELECT doc_id, {Q.any_contains('lower(hours_text)', L.HOURS_MARKS)} AS has_hours FROM map_captures")
 
 # ---- text scalars ---------------------------------------------------------------------------------------
 add("clean_text", ["sites"], f"SELECT site_key, {Q.clean('full_description')} AS clean FROM sites")
@@ -203,13 +203,13 @@ def time_range(x: str) -> str:
 
 
 DAYS = (
-    "SELECT event_id, day, arg_max(hours, pos) AS hours FROM (SELECT event_id, pos, "
+    "SELECT doc_id, day, arg_max(hours, pos) AS hours FROM (SELECT doc_id, pos, "
     f"{DAY} AS day, coalesce(nullif({time_range('line')}, ''), CASE WHEN contains(lower(line), 'closed') THEN 'Closed' END) AS hours FROM ("
-    f"SELECT event_id, {unnested('lines', 'line')} FROM (SELECT event_id, string_split(hours_text, chr(10)) AS lines FROM map_captures))) "
+    f"SELECT doc_id, {unnested('lines', 'line')} FROM (SELECT doc_id, string_split(hours_text, chr(10)) AS lines FROM map_captures))) "
     "WHERE day IS NOT NULL AND hours IS NOT NULL GROUP BY ALL"
 )
 add("hours_parse", MAPS, DAYS)
-add("hours_simple", MAPS, f"SELECT event_id, {time_range('hours_text')} AS hours FROM map_captures")
+add("hours_simple", MAPS, f"SELECT doc_id, {time_range('hours_text')} AS hours FROM map_captures")
 
 
 def coord(i: int) -> str:
@@ -219,9 +219,9 @@ def coord(i: int) -> str:
 RATING = f"try_cast(nullif(regexp_extract(rating_text, {Q.q(L.RATING_NUMBER)}, 1), '') AS DOUBLE)"
 RATED = f"CASE WHEN {RATING} BETWEEN 0 AND 5 THEN {RATING} END"
 REVIEWS = f"try_cast(nullif(replace(regexp_extract(review_text, {Q.q('(?i)' + L.REVIEW_COUNT)}, 1), ',', ''), '') AS BIGINT)"
-add("coords_from_url", MAPS, f"SELECT event_id, {coord(1)} AS lat, {coord(2)} AS lon FROM map_captures")
-add("rating_parse", MAPS, f"SELECT event_id, {RATED} AS rating FROM map_captures")
-add("review_count_parse", MAPS, f"SELECT event_id, {REVIEWS} AS reviews FROM map_captures")
+add("coords_from_url", MAPS, f"SELECT doc_id, {coord(1)} AS lat, {coord(2)} AS lon FROM map_captures")
+add("rating_parse", MAPS, f"SELECT doc_id, {RATED} AS rating FROM map_captures")
+add("review_count_parse", MAPS, f"SELECT doc_id, {REVIEWS} AS reviews FROM map_captures")
 add("coords_parse", ["gazetteer"], "SELECT query, try_cast(lat AS DOUBLE) AS lat, try_cast(lon AS DOUBLE) AS lon FROM gazetteer")
 add("address_region", ["gazetteer"], f"SELECT query, {Q.address('state', 'province')} AS region FROM gazetteer")
 
@@ -419,9 +419,9 @@ STATEMENTS["glossary"] = query(
 TOLD_HOURS = Q.any_contains("lower(hours_text)", L.HOURS_MARKS)
 add(
     "place_info", MAPS,
-    f"SELECT event_id, CASE WHEN {TOLD_HOURS} THEN hours_text ELSE '' END AS opening_hours_text, CASE WHEN {TOLD_HOURS} THEN {time_range('hours_text')} ELSE '' END AS opening_hours_simple, "
-    f"coalesce(week, '') AS opening_hours, {coord(1)} AS latitude, {coord(2)} AS longitude, {RATED} AS rating, {REVIEWS} AS review_count FROM map_captures LEFT JOIN "
-    f"(SELECT event_id, string_agg(day || '=' || hours, ' | ' ORDER BY list_position({Q.texts(L.WEEKDAYS)}, day)) AS week FROM days GROUP BY event_id) USING (event_id)",
+    f"SELECT doc_id, CASE WHEN {TOLD_HOURS} THEN hours_text ELSE '' END AS opening_hours_text, CASE WHEN {TOLD_HOURS} THEN {time_range('hours_text')} ELSE '' END AS opening_hours_simple, "
+    f"CASE WHEN {TOLD_HOURS} THEN coalesce(week, '') ELSE '' END AS opening_hours, {coord(1)} AS latitude, {coord(2)} AS longitude, {RATED} AS rating, {REVIEWS} AS review_count FROM map_captures LEFT JOIN "
+    f"(SELECT doc_id, string_agg(day || '=' || hours, ' | ' ORDER BY list_position({Q.texts(L.WEEKDAYS)}, day)) AS week FROM days GROUP BY doc_id) USING (doc_id)",
     days=DAYS,
 )
 add("research_sites", ["site"], f"SELECT {FLAT} FROM site")

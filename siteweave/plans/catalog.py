@@ -308,7 +308,7 @@ def price_mention(spark, sf):
 
 @register("hours_text_flag")
 def hours_text_flag(spark, sf):
-    return C.map_captures(spark, sf).select("event_id", R.mentions_hours(F.col("hours_text")).alias("has_hours"))
+    return C.map_captures(spark, sf).select("doc_id", R.mentions_hours(F.col("hours_text")).alias("has_hours"))
 
 
 # ---- text scalars ---------------------------------------------------------------------------------------
@@ -379,29 +379,29 @@ def sub_location_extract(spark, sf):
 
 @register("hours_parse")
 def hours_parse(spark, sf):
-    rows = C.map_captures(spark, sf).select("event_id", F.explode(X.opening_hours(F.col("hours_text"))).alias("day", "hours"))
+    rows = C.map_captures(spark, sf).select("doc_id", F.explode(X.opening_hours(F.col("hours_text"))).alias("day", "hours"))
     return rows
 
 
 @register("hours_simple")
 def hours_simple(spark, sf):
-    return C.map_captures(spark, sf).select("event_id", X.hours_range(F.col("hours_text")).alias("hours"))
+    return C.map_captures(spark, sf).select("doc_id", X.hours_range(F.col("hours_text")).alias("hours"))
 
 
 @register("coords_from_url")
 def coords_from_url(spark, sf):
     url = F.col("map_url")
-    return C.map_captures(spark, sf).select("event_id", X.coordinate(url, 1).alias("lat"), X.coordinate(url, 2).alias("lon"))
+    return C.map_captures(spark, sf).select("doc_id", X.coordinate(url, 1).alias("lat"), X.coordinate(url, 2).alias("lon"))
 
 
 @register("rating_parse")
 def rating_parse(spark, sf):
-    return C.map_captures(spark, sf).select("event_id", X.rating(F.col("rating_text")).alias("rating"))
+    return C.map_captures(spark, sf).select("doc_id", X.rating(F.col("rating_text")).alias("rating"))
 
 
 @register("review_count_parse")
 def review_count_parse(spark, sf):
-    return C.map_captures(spark, sf).select("event_id", X.review_count(F.col("review_text")).cast("long").alias("reviews"))
+    return C.map_captures(spark, sf).select("doc_id", X.review_count(F.col("review_text")).cast("long").alias("reviews"))
 
 
 @register("coords_parse")
@@ -840,10 +840,10 @@ def glossary(spark, sf):
 
 @register("place_info")
 def place_info(spark, sf):
-    rows = research.place_info(C.map_captures(spark, sf), ["event_id"])
+    rows = research.place_info(C.map_captures(spark, sf), ["doc_id"])
     days = F.transform(F.array(*[F.lit(d) for d in L.WEEKDAYS]), lambda d: F.concat(d, F.lit("="), F.try_element_at("opening_hours", d)))
     return rows.select(
-        "event_id", "opening_hours_text", shown(F.filter(days, lambda d: d.isNotNull())).alias("opening_hours"), "opening_hours_simple",
+        "doc_id", "opening_hours_text", shown(F.filter(days, lambda d: d.isNotNull())).alias("opening_hours"), "opening_hours_simple",
         "latitude", "longitude", "rating", F.col("review_count").cast("long").alias("review_count"),
     )
 

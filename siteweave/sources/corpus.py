@@ -49,18 +49,6 @@ SEED_SCHEMA = (
     "has_page INT, geo INT, state STRING, province STRING"
 )
 
-# m, hours text, rating text, review text
-MAP_SEEDS = [
-    (0, "Monday: 9:00 AM - 5:00 PM\nFriday: Closed", "4.8", "12,345 reviews"),
-    (1, "Monday: 9 AM to 5 PM\nTuesday: 10 AM – 4 PM\nMonday: 8 AM - 2 PM", "4.5 stars", "1 review"),
-    (2, "Open now\nSunday 9 - 5", "0", "Reviews"),
-    (3, "Wednesday\nThursday: closed", "no number", "(77) Reviews"),
-    (4, "Saturday 07:30-18:00\nSunday to be closed", "12.5", "none"),
-    (5, "daily from 8", "5.0", "1,000,000 REVIEW"),
-    (6, "", "", ""),
-]
-MAP_SCHEMA = "m LONG, hours_text STRING, rating_text STRING, review_text STRING"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -255,17 +243,60 @@ def gazetteer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def map_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured map-page texts, one per event."""
-    seeds = local_table(spark, MAP_SEEDS, MAP_SCHEMA)
-    key = F.col("event_id")
-    url = F.concat(
-        F.lit("https://maps.example/place/@"), F.pmod(key, F.lit(32)), F.lit("."), F.pmod(key, F.lit(977)),
-        F.lit(",-"), F.pmod(key, F.lit(60)), F.lit("."), F.pmod(key, F.lit(991)), F.lit(",15z"),
+def _told_hours(doc_id: Column, line: Column, number: Column) -> Column:
+    """A line of the text with a notice before it, after it, or without one; all by the line's length, number and document."""
+    size = F.length(line)
+    day = F.element_at(F.array(*[F.lit(d) for d in L.WEEKDAYS]), (F.pmod(size + number, F.lit(7)) + 1).cast("int"))
+    hour, minute = F.pmod(size, F.lit(12)) + 1, F.lpad(F.pmod(size * 7, F.lit(60)).cast("string"), 2, "0")
+    notice = F.element_at(
+        F.array(
+            F.concat(day, F.lit(": "), hour, F.lit(":"), minute, F.lit(" AM - "), F.pmod(size, F.lit(7)) + 1, F.lit(" PM")),
+            F.concat(day, F.lit(" closed")),
+            F.concat(F.lower(day), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), minute, F.lit("–"), hour + 9, F.lit(":30")),
+            F.concat(day, F.lit(" "), hour, F.lit(" am to "), F.pmod(size, F.lit(5)) + 3, F.lit(" PM")),
+            F.concat(F.lit("Open daily from "), hour),
+        ),
+        (F.pmod(size, F.lit(5)) + 1).cast("int"),
     )
+    place = F.pmod(doc_id + number, F.lit(3))
+    return F.when(place == 0, F.concat_ws(" ", notice, line)).when(place == 1, F.concat_ws(" ", line, notice)).otherwise(line)
+
+
+def _placed(doc_id: Column, text: Column, notice: Column) -> Column:
+    """The whole text with a notice before it, after it or behind its first line, or without one."""
+    place = F.pmod(doc_id, F.lit(4))
+    behind = F.regexp_replace(text, r"^([^\n]*)", F.concat(F.lit("$1 "), notice))
     return (
-        table(spark, sf_dir, "events").select("event_id", F.pmod("event_id", F.lit(7)).alias("m"))
-        .join(seeds, "m")
-        .withColumn("map_url", F.when(F.pmod(key, F.lit(10)) == 0, F.lit("https://maps.example/")).otherwise(url))
-        .drop("m")
+        F.when(place == 0, F.concat_ws(" ", notice, text)).when(place == 1, F.concat_ws(" ", text, notice))
+        .when(place == 2, behind).otherwise(text)
+    )
+
+
+def map_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured map-page texts, one per document: its whole text with notices whose values and places vary with it.
+
+    The address is that of the page with the same number, if there is one, with coordinates from the sizes of the page.
+    """
+    key, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
+    size = F.length(text)
+    hours = F.array_join(F.transform(F.split(text, "\n"), lambda line, i: _told_hours(key, line, i)), "\n")
+    rating = F.concat(F.pmod(F.floor(size / 10), F.lit(7)), F.lit("."), F.pmod(size, F.lit(10)), F.lit(" stars"))
+    count = F.format_number(size * (F.pmod(key, F.lit(5)) + 1), 0)
+    reviews = (
+        F.when(F.pmod(size, F.lit(3)) == 0, F.concat(F.lit("("), count, F.lit(") Reviews")))
+        .when(F.pmod(size, F.lit(3)) == 1, F.concat(count, F.lit(" reviews"))).otherwise(F.concat(count, F.lit("REVIEW")))
+    )
+    captured = table(spark, sf_dir, "documents").select(
+        "doc_id", hours.alias("hours_text"), _placed(key, text, rating).alias("rating_text"),
+        _placed(key + 1, text, reviews).alias("review_text"),
+    )
+    markup = F.length("html")
+    point = F.concat(
+        F.lit("/@"), F.pmod(markup, F.lit(32)), F.lit("."), markup, F.lit(",-"), F.pmod(markup, F.lit(60)), F.lit("."), F.length("url"), F.lit(",15z")
+    )
+    address = (
+        F.when(F.pmod(markup, F.lit(10)) == 0, F.col("url")).when(F.pmod(markup, F.lit(2)) == 0, F.concat("url", point))
+        .otherwise(F.regexp_replace("url", "^(https?://[^/]*)", F.concat(F.lit("$1"), point)))
     )
+    addresses = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), address.alias("map_url"))
+    return captured.join(addresses, "doc_id", "left")

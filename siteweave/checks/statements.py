@@ -455,6 +455,14 @@ add(
     + " UNION ALL ".join(f"SELECT id AS site, sum({n})::BIGINT AS rows, '{t}' AS table_name FROM site GROUP BY 1" for t, n in KEYED.items())
     + ") WHERE rows > 0",
 )
+add(
+    "checkpoint_document", ["listing"],
+    "SELECT DISTINCT 'url' AS kind, url AS value FROM listing WHERE (pos // 100) % 4 <> 2 UNION ALL "
+    "SELECT DISTINCT 'name', name FROM listing WHERE (pos // 100) % 4 = 0 UNION ALL "
+    "SELECT DISTINCT 'type', page_type FROM listing WHERE (pos // 100) % 4 IN (0, 3) UNION ALL "
+    "SELECT DISTINCT 'malformed', (pos // 100)::VARCHAR FROM listing WHERE (pos // 100) % 4 IN (2, 3)",
+)
+STATEMENTS["export_document"] = STATEMENTS["export_all"]
 add(
     "dry_run", ["listing"], f"SELECT page_type, {STATUS}, count(*) AS sites FROM marks WHERE number <= 20 GROUP BY ALL", marks=MARKS,
 )

@@ -133,6 +133,29 @@ def checkpoint_scan(spark, sf):
     return tables.processed(spark, path).select("url", "name", "page_type", "status")
 
 
+@register("checkpoint_document")
+def checkpoint_document(spark, sf):
+    """Checkpoint documents of 100 listing rows each: whole ones, ones without names, cut ones, and ones with names of a wrong type."""
+    rows = C.listing(spark, sf).withColumn("document", F.floor(F.col("pos") / 100))
+    lists = rows.groupBy("document").agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in ("url", "name", "page_type")])
+    urls, types = F.col("url").alias("processed_urls"), F.col("page_type").alias("page_types_completed")
+    whole = F.to_json(F.struct(urls, F.col("name").alias("processed_names"), types, F.size("url").alias("total_processed")))
+    mistyped = F.to_json(F.struct(urls, F.array_join("name", ", ").alias("processed_names"), types))
+    kind = F.pmod("document", F.lit(4))
+    body = (
+        F.when(kind == 0, whole).when(kind == 1, F.to_json(F.struct(urls)))
+        .when(kind == 2, F.substring(whole, F.lit(1), F.length(whole) - 5)).otherwise(mistyped)
+    )
+    found = staged(tables.checkpoint_documents(lists.select("document", body.alias("body"))))
+    progress = tables.checkpoint_progress(found).select("url", "name")
+    types = tables.checkpoint_types(found).select(F.lit("type").alias("kind"), F.col("page_type").alias("value"))
+    listed = progress.select(
+        F.when(F.col("url") != "", F.lit("url")).otherwise(F.lit("name")).alias("kind"), F.concat("url", "name").alias("value")
+    )
+    bad = found.filter("malformed").select(F.lit("malformed").alias("kind"), F.col("document").cast("string").alias("value"))
+    return listed.unionByName(types).unionByName(bad)
+
+
 @register("checkpoint_sink")
 def checkpoint_sink(spark, sf):
     path = shared_dir(spark)
@@ -867,9 +890,7 @@ def export_json(spark, sf):
     return metrics.export_counts(back)
 
 
-@register("export_all")
-def export_all(spark, sf):
-    parts = export.tables(staged(full_sites(spark, sf)))
+def rows_per_site(parts):
     keys = {"sites": "id", "subLocations": "siteId", "cards": "subLocationId", "tips": "siteId", "arabicPhrases": "siteId"}
     rows = None
     for name, df in parts.items():
@@ -878,6 +899,19 @@ def export_all(spark, sf):
     return rows
 
 
+@register("export_all")
+def export_all(spark, sf):
+    return rows_per_site(export.tables(staged(full_sites(spark, sf))))
+
+
+@register("export_document")
+def export_document(spark, sf):
+    """The whole catalogue as one JSON document, read back."""
+    path = shared_dir(spark)
+    export.write_document(full_sites(spark, sf), path)
+    return rows_per_site(export.read_document(spark, path))
+
+
 @register("dry_run")
 def dry_run(spark, sf):
     rows = C.listing(spark, sf)

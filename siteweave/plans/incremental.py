@@ -163,6 +163,15 @@ class Store:
         row = local_table(self.spark, [(page_type,)], "page_type STRING")
         tables.append(row.withColumn("updated_at", F.current_timestamp()), f"{self.path}/completed")
 
+    def adopt(self, path: str) -> None:
+        """Take over the checkpoint documents of a file or folder as one batch; adopting the same path again replaces it."""
+        documents = staged(tables.checkpoint_documents(tables.checkpoint_bodies(self.spark, path)))
+        batch = f"checkpoint-{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+        progress = tables.checkpoint_progress(documents).drop("batch")
+        progress.write.mode("overwrite").parquet(f"{self.path}/processed/batch={batch}")
+        tables.append(tables.checkpoint_types(documents), f"{self.path}/completed")  # read as distinct types
+        self.publish(batch)
+
     def clear(self) -> None:
         """Forget progress and finished types; the export stays, and numbers go on from it."""
         tables.reset(self.spark, f"{self.path}/processed", partition="batch")

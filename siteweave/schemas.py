@@ -14,6 +14,10 @@ DICTIONARY = "english STRING, arabic STRING"
 SEARCH_ANSWER = "query STRUCT<search: ARRAY<STRUCT<title: STRING, snippet: STRING>>>"
 PROCESSED = "url STRING, name STRING, page_type STRING, status STRING, batch STRING, updated_at TIMESTAMP"
 COMPLETED_TYPE = "page_type STRING, updated_at TIMESTAMP"
+CHECKPOINT = (
+    "processed_urls ARRAY<STRING>, processed_names ARRAY<STRING>, page_types_completed ARRAY<STRING>, "
+    "current_page_type STRING, total_processed LONG, last_updated STRING, version STRING"
+)
 EXISTING_OUTPUT = "sites ARRAY<STRUCT<name: STRING>>"
 
 SUB_LOCATION = (

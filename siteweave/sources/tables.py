@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siteweave import lexicons as L
 from siteweave import schemas as S
@@ -97,6 +98,54 @@ def completed_types(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("page_type").agg(F.max("updated_at").alias("updated_at"))
 
 
+def checkpoint_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Texts of the checkpoint documents in a file or folder (one document each); none if the path does not exist."""
+    rows = or_none(lambda: spark.read.option("wholetext", True).text(path))
+    return _empty(spark, "body STRING") if rows is None else rows.withColumnRenamed("value", "body")
+
+
+def checkpoint_documents(saved: DataFrame, body: str = "body") -> DataFrame:
+    """Decode checkpoint documents: the other columns of ``saved``, the document's fields, and ``malformed``.
+
+    Absent and null fields have their defaults.  A text that is no document gives the defaults alone, a fresh start; of a
+    document with a field of another type the other fields are kept.  Both are marked as malformed.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rest"}
+    decoded = F.from_json(F.coalesce(body, F.lit("")), f"{S.CHECKPOINT}, _rest STRING", options)
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(f"_d.{c}", none).alias(c) for c in ("processed_urls", "processed_names", "page_types_completed")]
+    return saved.withColumn("_d", decoded).select(
+        *[c for c in saved.columns if c != body], *lists,
+        F.coalesce("_d.current_page_type", F.lit("")).alias("current_page_type"),
+        F.coalesce("_d.total_processed", F.lit(0)).alias("total_processed"),
+        F.coalesce("_d.last_updated", F.lit("")).alias("last_updated"),
+        F.coalesce("_d.version", F.lit("1.0")).alias("version"),
+        (F.col("_d").isNull() | F.col("_d._rest").isNotNull()).alias("malformed"),
+    )
+
+
+def _checkpoint_values(documents: DataFrame, values: str, name: str) -> DataFrame:
+    """Distinct non-empty values of a list, with the latest time of a document that holds them."""
+    rows = documents.select(F.explode(values).alias(name), F.try_to_timestamp("last_updated").alias("updated_at"))
+    return rows.filter(F.col(name) != "").groupBy(name).agg(F.max("updated_at").alias("updated_at"))
+
+
+def checkpoint_progress(documents: DataFrame) -> DataFrame:
+    """Progress rows of decoded documents: one per address and one per name, as the two lists do not go in pairs."""
+    blank, done = F.lit(""), F.lit("done").alias("status")
+    none = F.lit(None).cast("string").alias("batch")
+    urls = _checkpoint_values(documents, "processed_urls", "url")
+    names = _checkpoint_values(documents, "processed_names", "name")
+    return urls.select("url", blank.alias("name"), blank.alias("page_type"), done, none, "updated_at").unionByName(
+        names.select(blank.alias("url"), "name", blank.alias("page_type"), done, none, "updated_at")
+    ).to(StructType.fromDDL(S.PROCESSED))
+
+
+def checkpoint_types(documents: DataFrame) -> DataFrame:
+    """Finished page types of decoded documents."""
+    return _checkpoint_values(documents, "page_types_completed", "page_type")
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Add progress rows; one write per batch, not one per site."""
     rows.write.mode("append").parquet(path)

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,8 +97,34 @@ def test_export_document(spark, site):
     assert [r["id"] for r in document["sites"]] == ["site_001", "site_002", "site_003"]
     assert list(document["tips"][0]) == ["siteId", "tip"] and "معبد الكرنك" in text and "\n" in text.strip()
     assert {r.name for r in tables.existing_names(spark, part).collect()} == {"Karnak Temple", "Gem Hall", "Kom el-Dikka"}
-    with pytest.raises(ValueError, match="more than 2 rows"):
-        export.write_document(site, shared_dir(spark), max_rows=2)
+    back = export.read_document(spark, path)
+    for name, df in export.tables(site).items():
+        assert sorted(map(str, back[name].collect())) == sorted(map(str, df.drop("pos").collect())), name
+    assert os.listdir(path) == ["part-document.json"]
+
+
+def test_export_document_without_rows(spark, site):
+    path = shared_dir(spark)
+    export.write_document(site.filter("false"), path)
+    document = json.load(open(path + "/part-document.json", encoding="utf-8"))
+    assert document == {"sites": [], "subLocations": [], "cards": [], "tips": [], "arabicPhrases": []}
+
+
+def test_large_export_document(spark, site):
+    """Above 100,000 rows, in several tasks, in order, and written over an earlier document."""
+    path = shared_dir(spark)
+    export.write_document(site, path)
+    many = site.drop("id").limit(1).crossJoin(spark.range(1, 60_001)).withColumn("id", F.format_string("site_%03d", "id"))
+    many = many.withColumn("tips", F.array(F.lit("first \"tip\"\nof two"), F.lit("zweiter, größer")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # partitions stay as they are, so there are several
+    try:
+        export.write_document(many, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    document = json.load(open(path + "/part-document.json", encoding="utf-8"))
+    assert [r["id"] for r in document["sites"]] == [f"site_{n:03d}" for n in range(1, 60_001)]
+    assert len(document["tips"]) == 120_000 and [r["tip"][:5] for r in document["tips"]] == ["first", "zweit"] * 60_000
+    assert export.read_document(spark, path)["tips"].count() == 120_000
 
 
 def test_cards_and_nesting(spark, site):
@@ -277,3 +304,39 @@ def test_distinct_addresses_over_ten_batches(spark, monkeypatch):
     again = intake.distinct_addresses(intake.listing_stream(spark, folder).select("page_type", "url"), path, shared_dir(spark))  # another query
     again.awaitTermination()
     assert spark.read.schema("page_type STRING, url STRING").parquet(path).count() == len(seen)
+
+
+def test_checkpoint_documents(spark):
+    """Whole, partial, mistyped and unreadable documents, and none."""
+    from siteweave.session import local_table
+
+    path = shared_dir(spark)
+    os.makedirs(path)
+    whole = {
+        "processed_urls": ["http://test.com", "", None], "processed_names": ["Test Site"], "page_types_completed": ["monuments"],
+        "total_processed": 1, "last_updated": "2024-05-06T07:08:09.123456", "version": "1.0",
+    }
+    texts = [
+        json.dumps(whole, indent=2), json.dumps({"processed_names": ["Größe"]}, ensure_ascii=False), "not valid json", "",
+        json.dumps({"processed_urls": ["http://kept.com"], "processed_names": "no list"}), json.dumps(whole)[:60],
+    ]
+    for number, text in enumerate(texts):
+        with open(f"{path}/{number}.json", "w", encoding="utf-8") as f:
+            f.write(text)
+    found = staged(tables.checkpoint_documents(tables.checkpoint_bodies(spark, path)))
+    rows = tables.checkpoint_progress(found)
+    assert rows.schema.simpleString() == local_table(spark, [], S.PROCESSED).schema.simpleString()
+    assert {(r.url, r.name, r.status) for r in rows.collect()} == {
+        ("http://test.com", "", "done"), ("", "Test Site", "done"), ("", "Größe", "done"), ("http://kept.com", "", "done")
+    }
+    [kept] = rows.filter("url = 'http://test.com'").collect()
+    assert str(kept.updated_at) == "2024-05-06 07:08:09.123456"
+    assert [r.page_type for r in tables.checkpoint_types(found).collect()] == ["monuments"]
+    assert found.filter("malformed").count() == 4
+    assert tables.checkpoint_bodies(spark, path + "/none").count() == 0
+    store = incremental.Store(spark, shared_dir(spark))
+    store.adopt(path)
+    store.adopt(path)  # again: the batch is replaced, not repeated
+    assert store.processed().count() == 4 and [r.page_type for r in store.completed().collect()] == ["monuments"]
+    listed = local_table(spark, [("http://test.com", "Other", "x", 1), ("u", "Test Site", "x", 2), ("v", "New", "x", 3)], "url STRING, name STRING, page_type STRING, pos LONG")
+    assert [r.name for r in incremental.pending_sites(listed, store.processed()).collect()] == ["New"]

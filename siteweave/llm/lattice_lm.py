@@ -7,9 +7,13 @@ words sum to one.  Every single byte is a piece, so every word has a probability
 
 Learning: the vocabulary's scores are ranks, so they give a starting distribution (1 / rank).  ``ROUNDS`` rounds of
 expectation maximisation over all different training words, weighted by their counts, give the piece probabilities.
-Words of the training texts also are arcs of their own from end to end of the lattice: their counts, less ``DISCOUNT``
-each, are their share, and all that is discounted goes to the lattice.  So a token's probability is
-``max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * lattice``, and a text's is the product over its words and its end.
+A text's tokens are its words and its end.  A token is the end with the
+end's share of the training tokens, and else a word with its lattice probability; a text's score is the sum over its tokens.
+So every score is the marginal over all segmentations, whether or not the word was in the training texts.
+
+``word_arcs`` (off) adds arcs from end to end of the lattice for the words of the training texts: their counts, less ``DISCOUNT``
+each, are their share, and all that is discounted goes to the lattice, so a token's probability is
+``max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * lattice``.
 
 How it runs: documents are read once, in slices.  A slice gives one row with the word numbers of its documents and one
 row per different word.  Counts are summed per word, so the recursion runs once per different word of the corpus, not
@@ -226,7 +230,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, raw = parts[p][5:]
             words.append(raw[start[at]:end[at]])
         owner = np.repeat(np.arange(len(rows)), sizes)
-        trained = np.bincount(numbers, ~held[owner], minlength=len(keys)).astype(np.int64)
+        trained = np.bincount(numbers, held[owner] & 1 == 0, minlength=len(keys)).astype(np.int64)
         order = sorted(range(len(words)), key=words.__getitem__)  # sorted words pack well
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -245,9 +249,9 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words(texts)
         ids = longs(batch.column("doc_id").fill_null(0))
         missing = np.array(batch.column("doc_id").is_null())
-        held = np.array(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
+        held = np.array(batch.column("held_out").to_numpy(zero_copy_only=False), np.uint8)
         raw = w.data.tobytes()
-        parts.append((longs(batch.column("_row")), np.where(missing, np.iinfo(np.int64).min, ids), held, w.count.astype(np.int64), w.hash, w.start.astype(np.int32), w.end.astype(np.int32), raw))
+        parts.append((longs(batch.column("_row")), ids, held | missing.astype(np.uint8) << 1, w.count.astype(np.int64), w.hash, w.start.astype(np.int32), w.end.astype(np.int32), raw))
         size += sum(map(len, texts))
         if size >= SLICE:
             yield from emit(parts)
@@ -284,11 +288,23 @@ def learn(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     return scores
 
 
-def token_score(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 probability of tokens with training count ``c`` and log lattice probability; ``n`` and ``v``: all and distinct training tokens.
+def token_score(lattice: np.ndarray, n: int, ends: int) -> np.ndarray:
+    """log10 probability of words with log lattice probability ``lattice``; ``n``: training tokens, ``ends`` of them ends.
 
-    Without training tokens, words and the end share the probability equally.
+    Without training tokens, words and the end share the probability equally.  Where no training text has a word, a word counts
+    as one token more, so it has a probability.
     """
+    return (lattice + math.log(word_share(n, ends))) / math.log(10)
+
+
+def word_share(n: int, ends: int) -> float:
+    if not n:
+        return 0.5
+    return (n - ends) / n if n > ends else 1 / (n + 1)
+
+
+def arc_score(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The same with arcs for training words; ``c``: the word's training count, ``v``: distinct training tokens."""
     if not n:
         return (lattice - math.log(2)) / math.log(10)
     with np.errstate(divide="ignore"):
@@ -296,7 +312,7 @@ def token_score(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> np.ndarra
     return np.logaddexp(own, math.log(DISCOUNT * v / n) + lattice) / math.log(10)
 
 
-def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, word_arcs: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     path = path or vocabulary_path()
     rows = keyed(docs, "text").withColumn("held_out", held_out())
@@ -307,14 +323,18 @@ def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(sums["n"] or 0) + ends, int(sums["v"]) + (ends > 0)
     pieces = learn(words, path, rounds)
-    end = math.log10(max(ends - DISCOUNT, 0.25) / n) if n else math.log10(0.5)
+    if word_arcs and n:
+        end = math.log10(max(ends - DISCOUNT, 0.25) / n)
+    else:
+        end = math.log10(1 - word_share(n, ends))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
             texts = [b" " + t for t in batch.column("word").cast(pa.binary()).to_pylist()]
-            found = token_score(longs(batch.column("c")), own.log_probability(texts, shared.value), n, v)
+            lattice = own.log_probability(texts, shared.value)
+            found = arc_score(longs(batch.column("c")), lattice, n, v) if word_arcs else token_score(lattice, n, ends)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(found)], ["word", "c", "score"])
 
     answers = listed.select("slice", "word", "number").join(words.mapInArrow(score, "word string, c long, score double"), "word").select(F.col("slice").alias("of"), "number", "c", "score")
@@ -326,12 +346,12 @@ def scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
         c = known.column("c").to_numpy()
         base[at], model[at], seen[at] = np.log10((c + 1) / (n + v + 1)), known.column("score").to_numpy(), c > 0
         row = documents.to_pylist()[0]
-        ids, held, sizes = _unpack(row["ids"], np.int64), _unpack(row["held"], bool), _unpack(row["sizes"], np.int64)
+        ids, held, sizes = _unpack(row["ids"], np.int64), _unpack(row["held"], np.uint8), _unpack(row["sizes"], np.int64)
         tokens = _unpack(row["tokens"], np.uint32)
         owner = np.repeat(np.arange(len(ids)), sizes)
         total = [np.bincount(owner, x[tokens], minlength=len(ids)) for x in (base, model, seen)]
         return pa.table({
-            "doc_id": pa.array(ids, mask=ids == np.iinfo(np.int64).min), "held_out": pa.array(held), "n_tokens": pa.array(sizes + 1),
+            "doc_id": pa.array(ids, mask=held & 2 > 0), "held_out": pa.array(held & 1 > 0), "n_tokens": pa.array(sizes + 1),
             "n_known": pa.array(total[2].astype(np.int64) + (ends > 0)), "train_tokens": pa.array(np.full(len(ids), n)),
             "base_score": pa.array(total[0] + math.log10((ends + 1) / (n + v + 1))), "score": pa.array(total[1] + end),
         })

@@ -40,11 +40,50 @@ def test_forward_recursion_adds_up_all_segmentations(vocabulary, monkeypatch):
 
 
 def test_token_probabilities_sum_to_one():
-    """Known words, the end, and the discounted rest for the lattice, whose words sum to one."""
+    """Words, whose lattice probabilities sum to one, and the end; with arcs, known words, the end and the discounted rest."""
+    words = np.log(np.array([0.5, 0.3, 0.2]))
+    for n, ends in [(10, 3), (0, 0), (4, 4)]:
+        assert (10 ** lattice_lm.token_score(words, n, ends)).sum() + 1 - lattice_lm.word_share(n, ends) == pytest.approx(1)
     c, n = np.array([5, 3, 1, 1]), 10
-    seen = 10 ** lattice_lm.token_score(c, np.full(4, -np.inf), n, 4)
+    seen = 10 ** lattice_lm.arc_score(c, np.full(4, -np.inf), n, 4)
     assert seen.sum() + lattice_lm.DISCOUNT * 4 / n == pytest.approx(1)
-    assert 10 ** lattice_lm.token_score(np.array([0]), np.log(np.array([0.2])), n, 4) == pytest.approx(0.2 * lattice_lm.DISCOUNT * 4 / n)
+    assert 10 ** lattice_lm.arc_score(np.array([0]), np.log(np.array([0.2])), n, 4) == pytest.approx(0.2 * lattice_lm.DISCOUNT * 4 / n)
+
+
+def test_document_scores_against_brute_force(spark, vocabulary):
+    """Learning and scores once more in plain Python: every segmentation of every token, over all training texts."""
+    texts = ["the red Fox the", "a fox", "", None, "über the 中 hill", "a a a", "zzz the", "fox-hill a", "red"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the fox"), (-(2 ** 63), "red hill"), (3, "a"), (3, "a")]
+    number, pieces = vocabulary.number, vocabulary.pieces
+    train = Counter(w for i, t in rows if plain.crc(i) % 7 != 2 for w in plain.words(t))
+    ends = sum(plain.crc(i) % 7 != 2 for i, _ in rows)
+    scores = [math.log(p) for p in vocabulary.start / vocabulary.start.sum()]
+
+    def ways(word):  # all segmentations as lists of piece numbers
+        if not word:
+            return [[]]
+        return [[number[word[:j]], *rest] for j in range(1, len(word) + 1) if word[:j] in number for rest in ways(word[j:])]
+
+    def token(word):
+        return (" " + word).encode() if isinstance(word, str) else b" " + word
+
+    for _ in range(lattice_lm.ROUNDS):
+        uses = [lattice_lm.SMOOTHING] * len(pieces)
+        for word, c in train.items():
+            cuts = ways(token(word))
+            weights = [math.exp(sum(scores[p] for p in cut)) for cut in cuts]
+            for cut, weight in zip(cuts, weights):
+                for p in cut:
+                    uses[p] += c * weight / sum(weights)
+        total = sum(uses)
+        scores = [math.log(u / total) for u in uses]
+    n = sum(train.values()) + ends
+    want = []
+    for i, t in rows:
+        lattice = [math.log10(sum(math.exp(sum(scores[p] for p in cut)) for cut in ways(token(w)))) for w in plain.words(t)]
+        want.append((str(i), plain.crc(i) % 7 == 2, round(sum(lattice) + len(lattice) * math.log10((n - ends) / n) + math.log10(ends / n), 6)))
+    got = lattice_lm.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.held_out, round(r.score, 6)) for r in got) == sorted(want)
 
 
 def test_scores(spark):

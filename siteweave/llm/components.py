@@ -8,9 +8,13 @@ from siteweave.session import staged
 
 
 def _follow(rows: DataFrame, column: str, parents: DataFrame, total: int) -> DataFrame:
-    """``rows`` with ``column`` replaced by its parent where it has one."""
+    """``rows`` with ``column`` replaced by its parent where it has one.
+
+    Keys without a parent are answered too, with null: the centre of a star is such a key, and as a hot one it must not go
+    through the shuffle.
+    """
     asked = rows.groupBy(F.col(column).alias("_key")).agg(F.count(F.lit(1)).alias("_asked"))
-    answers = parents.select(F.col("node").alias("_key"), F.col("parent").alias("_to")).join(asked, "_key")
+    answers = asked.join(parents.select(F.col("node").alias("_key"), F.col("parent").alias("_to")), "_key", "left")
     found = answer_join(rows.withColumnRenamed(column, "_key"), answers, ["_key"], "_asked", total, "left")
     return found.withColumn(column, F.coalesce("_to", "_key")).select(*rows.columns)
 

@@ -186,12 +186,15 @@ def _completion(members: DataFrame, labels: DataFrame, heads: DataFrame, percent
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, by_row: bool = False
+) -> DataFrame:
     """(_row, doc_id, n_shingles, component) of every document; ``component`` is the least ``_row`` reachable by links.
 
-    ``docs`` has ``doc_id`` and ``text``, or is keyed already.
+    ``docs`` has ``doc_id`` and ``text``; with ``by_row`` it comes from :func:`siteweave.llm.rows.keyed` and has its ``_row``,
+    which otherwise is a column like any other and not looked at.
     """
-    texts = docs.select("_row", "doc_id", "text") if "_row" in docs.columns else keyed(docs, "text")
+    texts = docs.select("_row", "doc_id", "text") if by_row else keyed(docs, "text")
     marks = staged(signatures(texts, k, bands, rows))
     total = marks.count()
     sets = marks.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -220,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 def documents_kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` (all columns), one document of each group of near-duplicates."""
     rows = keyed(docs.select("doc_id", "text", F.struct("*").alias("_all")), "text", "_all")
-    found = near_duplicates(rows, k, percent)
+    found = near_duplicates(rows, k, percent, by_row=True)
     return rows.join(found.filter("_row = component").select("_row"), "_row", "left_semi").select("_all.*")
 
 

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siteweave.llm import components, minhash
+from siteweave.session import staged
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, component long"
@@ -62,3 +64,25 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(160, 159), (200, 201), (201, 200)]
     labels = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {**{i: 0 for i in range(1, 51)}, **{i: 100 for i in range(101, 161)}, 201: 200}
+
+
+def test_a_column_named_row_is_no_key(spark):
+    rows = [(i, t, None if i % 2 else 7, 0) for i, t in enumerate(["one two three four", "one two three four", "five six seven", "", None])]
+    given = spark.createDataFrame(rows, "doc_id long, text string, _row long, component long")
+    out = {r.doc_id: (r.component_id, r.kept) for r in minhash.report(given).collect()}
+    assert out == {0: (0, True), 1: (0, False), 2: (2, True), 3: (3, True), 4: (4, True)}
+
+
+def test_hub_does_not_meet_in_one_task(spark):
+    """A star of 100,000 members: the rows that ask for its centre, which has no parent, are not shuffled to one task."""
+    star = staged(spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")))
+    parents = staged(star.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = components._follow(star, "a", parents, 100_000)
+        largest = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert found.count() == 100_000 and largest < 60_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    labels = components.components(star)
+    assert labels.count() == 100_000 and labels.filter("label <> 0").isEmpty()

@@ -99,8 +99,8 @@ def completed_types(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checkpoint_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Texts of the checkpoint documents in a file or folder (one document each); none if the path does not exist."""
-    rows = or_none(lambda: spark.read.option("wholetext", True).text(path))
+    """Texts of the checkpoint documents in a file or folder (one document each); none for an empty file or if the path does not exist."""
+    rows = or_none(lambda: spark.read.text(path, wholetext=True))
     return _empty(spark, "body STRING") if rows is None else rows.withColumnRenamed("value", "body")
 
 

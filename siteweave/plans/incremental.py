@@ -1,10 +1,12 @@
 """Dry runs and resumable runs."""
 
+import json
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siteweave import lexicons as L
 from siteweave import schemas as S
@@ -94,19 +96,36 @@ def pending_by_type(listing: DataFrame, processed: DataFrame, min_rows: int = HO
     return result
 
 
+def hashed(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("content_hash", F.xxhash64("html"))
+
+
+def changed_hashes(pages: DataFrame, known_hashes: DataFrame) -> DataFrame:
+    """Addresses and hashes of the hashed pages that are new or differ; no markup is shuffled."""
+    return pages.select("url", "content_hash").join(known_hashes.select("url", "content_hash"), ["url", "content_hash"], "left_anti")
+
+
 def changed_pages(pages: DataFrame, known_hashes: DataFrame) -> DataFrame:
     """Pages that are new or whose content differs from the stored hash, with their present hash."""
-    hashed = pages.withColumn("content_hash", F.xxhash64("html"))
-    return hashed.join(known_hashes.select("url", "content_hash"), ["url", "content_hash"], "left_anti")
+    return hashed(pages).join(known_hashes.select("url", "content_hash"), ["url", "content_hash"], "left_anti")
+
+
+# the column of each output table that starts with the site's id, and the stored key tables
+SITE_KEYS = {"sites": "id", "subLocations": "siteId", "cards": "subLocationId", "tips": "siteId", "arabicPhrases": "siteId"}
+STORED = {"site_keys": "id STRING, url STRING, name STRING", "page_hashes": "url STRING, content_hash LONG"}
 
 
 class Store:
-    """Folders of a resumable run: progress, finished types, the export, and the list of published batches.
+    """Folders of a resumable run: progress, finished types, the export, and the versions, which list the published batches.
 
     Every type of every run is a batch with an id of its own, and all of its output goes to folders of that id.  A
     batch counts, for progress and export alike, once its id is in the list, which is written last.  What a lost
     driver leaves behind is therefore ignored, and its rows are pending again; a replayed stream batch has the id it
     had before and replaces its own folders.  Ids are never used for anything else, so nothing is overwritten.
+
+    Runs may go on at once.  Publishing a batch makes the next version, a file that only one run can create; a run whose
+    batch was worked out from an older version does not get it, and works the batch out again from what is stored now.
+    So ids stay distinct and no site is added twice; who publishes first never waits.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -118,10 +137,18 @@ class Store:
 
     def published(self, without: str | None = None) -> DataFrame:
         """Ids of the batches that count, but for ``without``."""
-        rows = tables.or_none(lambda: self.spark.read.schema("batch STRING").parquet(f"{self.path}/batches"))
-        rows = local_table(self.spark, [], "batch STRING") if rows is None else rows.distinct()
+        rows = self._versions().select("batch").distinct()
         return rows if without is None else rows.filter(F.col("batch") != without)
 
+    def _versions(self) -> DataFrame:
+        schema = "version LONG, batch STRING, replaces BOOLEAN"
+        rows = tables.or_none(lambda: self.spark.read.schema(schema).json(f"{self.path}/versions"))
+        return local_table(self.spark, [], schema) if rows is None else rows
+
+    def version(self) -> int:
+        """Number of the latest version, 0 at the start."""
+        return self._versions().agg(F.max("version")).first()[0] or 0
+
     def processed(self, without: str | None = None, retry_failed: bool = False) -> DataFrame:
         rows = tables.processed(self.spark, f"{self.path}/processed").join(self.published(without), "batch", "left_semi")
         return rows.filter("status <> 'failed'") if retry_failed else rows
@@ -136,9 +163,34 @@ class Store:
         return names.filter("name <> ''").distinct()
 
     def output_table(self, name: str, schema: str, without: str | None = None) -> DataFrame | None:
-        """A table of the export, published batches only."""
-        rows = tables.or_none(lambda: self.spark.read.schema(f"{schema}, batch STRING").json(f"{self.output}/{name}"))
-        return None if rows is None else rows.join(self.published(without), "batch", "left_semi")
+        """A table of the export: published batches only, and of a site that a later batch replaced, that batch's rows."""
+        key = SITE_KEYS[name]
+        wanted = [f.name for f in StructType.fromDDL(schema)]
+        whole = schema if key in wanted else f"{schema}, {key} STRING"
+        rows = tables.or_none(lambda: self.spark.read.schema(f"{whole}, batch STRING").json(f"{self.output}/{name}"))
+        if rows is None:
+            return None
+        rows = rows.join(self.published(without), "batch", "left_semi")
+        if self._versions().filter("replaces").isEmpty():
+            return rows.select(*wanted, "batch")
+        owners = self._latest("site_keys", "id", without).select(F.col("id").alias("_site"), F.col("batch").alias("_owner"))
+        own = (F.substring_index(key, "_sub_", 1) == F.col("_site")) & (F.col("batch") == F.col("_owner"))
+        return rows.join(owners, own, "left_semi").select(*wanted, "batch")
+
+    def _latest(self, folder: str, key: str, without: str | None = None) -> DataFrame:
+        """Rows of a stored key table, for each key those of the latest version only."""
+        schema = f"{STORED[folder]}, batch STRING"
+        rows = tables.or_none(lambda: self.spark.read.schema(schema).parquet(f"{self.path}/{folder}"))
+        if rows is None:
+            return local_table(self.spark, [], schema)
+        order = self._versions().groupBy("batch").agg(F.max("version").alias("_version"))  # one row per batch
+        rows = rows.join(order if without is None else order.filter(F.col("batch") != without), "batch")
+        newest = rows.groupBy(key).agg(F.max("_version").alias("_version"))
+        return rows.join(newest, [key, "_version"]).drop("_version")
+
+    def page_hashes(self) -> DataFrame:
+        """(url, content_hash) of the pages that the export was made from."""
+        return self._latest("page_hashes", "url").select("url", "content_hash").distinct()
 
     def last_number(self, without: str | None = None) -> int:
         """Highest site number of the export."""
@@ -148,16 +200,28 @@ class Store:
         number = F.substring("id", len("site_") + 1, 20).cast("long")
         return sites.agg(F.max(number)).first()[0] or 0
 
-    def save(self, site: DataFrame, progress: DataFrame, batch: str) -> None:
-        """Write the batch's export and progress, then publish it."""
-        parts = export.tables(staged(site))
-        for name, df in parts.items():
+    def save(
+        self, site: DataFrame, progress: DataFrame, batch: str, version: int, pages: DataFrame | None = None, replaces: bool = False
+    ) -> bool:
+        """Write the batch's export, progress and page hashes, then publish it, unless the store is past ``version`` by now."""
+        site = staged(site)
+        for name, df in export.tables(site).items():
             df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{self.output}/{name}/batch={batch}")
+        site.select("id", "url", "name").write.mode("overwrite").parquet(f"{self.path}/site_keys/batch={batch}")
+        if pages is not None:
+            pages.select("url", "content_hash").write.mode("overwrite").parquet(f"{self.path}/page_hashes/batch={batch}")
         progress.write.mode("overwrite").parquet(f"{self.path}/processed/batch={batch}")
-        self.publish(batch)
-
-    def publish(self, batch: str) -> None:
-        tables.append(local_table(self.spark, [(batch,)], "batch STRING"), f"{self.path}/batches")
+        return self.publish(batch, version, replaces)
+
+    def publish(self, batch: str, version: int | None = None, replaces: bool = False) -> bool:
+        """Make a batch count as the version after ``version``; without one, as the next that is free."""
+        while True:
+            latest = self.version() if version is None else version
+            text = json.dumps({"version": latest + 1, "batch": batch, "replaces": replaces}) + "\n"
+            if tables.create_once(self.spark, f"{self.path}/versions/{latest + 1:020d}.json", text):
+                return True
+            if version is not None:
+                return False
 
     def complete(self, page_type: str) -> None:
         row = local_table(self.spark, [(page_type,)], "page_type STRING")
@@ -199,27 +263,64 @@ def run(
     for rank, page_type in enumerate(page_types or page_types_of(crawl.listing)):
         if page_type in skipped:
             continue
-        batch = f"{name}-{rank:03d}"
-        existing = store.existing(batch) if skip_existing else None
         rows = research.first_of_each_type(of_type(crawl.listing, page_type), max_sites)
-        todo = staged(pending_sites(rows, store.processed(batch, retry_failed), existing))
-        if todo.isEmpty():
-            if mark_completed:
-                store.complete(page_type)
-            continue
-        # only what the batch needs is read further on
-        wanted = todo.select(F.explode(F.array("url", T.arabic_url(F.col("url")))).alias("url")).distinct()
-        pages = staged(crawl.pages.join(wanted, "url", "left_semi"))
-        part = replace(crawl, listing=todo, pages=pages)
-        if "index" not in options:
-            options["index"] = match.title_index(crawl.articles)  # once for all batches of the run
-        site = research.research_sites(part, first_number=store.last_number(batch), **options)
-        found = pages.select("url", F.lit(True).alias("_found")).distinct()
-        progress = todo.join(found, "url", "left").select(
-            "url", "name", "page_type",
-            F.when(F.col("_found"), F.lit("done")).otherwise(F.lit("failed")).alias("status"),
-            F.current_timestamp().alias("updated_at"),
-        )
-        store.save(site, progress, batch)
+        while not _run_batch(crawl, store, rows, f"{name}-{rank:03d}", skip_existing, retry_failed, options):
+            pass  # another run published since; each try means that some run got on
         if mark_completed:
             store.complete(page_type)
+
+
+def _run_batch(
+    crawl: Crawl, store: Store, rows: DataFrame, batch: str, skip_existing: bool, retry_failed: bool, options: dict
+) -> bool:
+    """Research what is new among ``rows`` and publish it; False if the store went on meanwhile."""
+    version = store.version()  # before anything else is read
+    existing = store.existing(batch) if skip_existing else None
+    todo = staged(pending_sites(rows, store.processed(batch, retry_failed), existing))
+    if todo.isEmpty():
+        return True
+    # only what the batch needs is read further on
+    wanted = todo.select(F.explode(F.array("url", T.arabic_url(F.col("url")))).alias("url")).distinct()
+    pages = staged(crawl.pages.join(wanted, "url", "left_semi"))
+    part = replace(crawl, listing=todo, pages=pages)
+    if "index" not in options:
+        options["index"] = match.title_index(crawl.articles)  # once for all batches of the run
+    site = research.research_sites(part, first_number=store.last_number(batch), **options)
+    found = pages.select("url", F.lit(True).alias("_found")).distinct()
+    progress = todo.join(found, "url", "left").select(
+        "url", "name", "page_type",
+        F.when(F.col("_found"), F.lit("done")).otherwise(F.lit("failed")).alias("status"),
+        F.current_timestamp().alias("updated_at"),
+    )
+    return store.save(site, progress, batch, version, hashed(pages))
+
+
+def update(crawl: Crawl, store: Store, **options) -> None:
+    """Research the stored sites whose English or Arabic page changed, is new, or was not hashed, again under their ids.
+
+    The new batch replaces all rows of these sites in all five tables; other sites are not touched, and their pages are hashed
+    but not parsed.  A page that the crawl no longer has changes nothing.
+    """
+    batch = f"update-{uuid.uuid4().hex}"
+    while not _update_batch(crawl, store, batch, options):
+        pass  # another run published since
+
+
+def _update_batch(crawl: Crawl, store: Store, batch: str, options: dict) -> bool:
+    version = store.version()
+    pages = hashed(crawl.pages)
+    changed = staged(changed_hashes(pages, store.page_hashes()).select("url").distinct())
+    same = Window.partitionBy("url", "name")  # a listing row that is there more than once has as many ids
+    keys = store._latest("site_keys", "id", batch)
+    keys = keys.withColumn("_nth", F.row_number().over(same.orderBy(F.length("id"), "id"))).select("url", "name", "_nth", "id")
+    twin = T.arabic_url(F.col("url"))
+    stale = keys.select("id", F.explode(F.array("url", twin)).alias("url")).join(changed, "url", "left_semi").select("id").distinct()
+    rows = crawl.listing.fillna("", ["name"]).withColumn("_nth", F.row_number().over(same.orderBy("pos")))
+    todo = staged(rows.join(keys.join(stale, "id", "left_semi"), ["url", "name", "_nth"]).drop("_nth"))
+    if todo.isEmpty():
+        return True
+    wanted = todo.select(F.explode(F.array("url", twin)).alias("url")).distinct()
+    part = replace(crawl, listing=todo, pages=staged(crawl.pages.join(wanted, "url", "left_semi")))
+    site = research.research_sites(part, **options)
+    none = local_table(store.spark, [], S.PROCESSED).drop("batch")
+    return store.save(site, none, batch, version, hashed(part.pages), replaces=True)

@@ -140,8 +140,10 @@ def with_coordinates(rows: DataFrame, gazetteer: DataFrame, min_rows: int = HOT_
 
 
 def numbered(listing: DataFrame, pages: DataFrame, first_number: int = 0, page_types: list[str] | None = None) -> DataFrame:
-    """Listing rows that have a page, numbered over all types in the order given, with their site id."""
+    """Listing rows that have a page, numbered over all types in the order given, with their site id; given ids are kept."""
     kept = listing.join(pages.select("url"), "url", "left_semi")
+    if "id" in listing.columns:
+        return kept
     rows = number_rows(kept, "pos", "site_number", groups=["page_type"], order=type_rank(page_types))
     return rows.withColumn("id", T.site_id(F.col("site_number") + first_number)).drop("site_number")
 

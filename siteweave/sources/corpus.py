@@ -66,13 +66,19 @@ def seeded_of(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return docs.join(seeds, "k").withColumn("unique_name", F.concat_ws(" ", "seed_name", "doc_id"))
 
 
-def _page_type() -> Column:
-    slot = F.pmod(F.floor(F.col("doc_id") / 24), F.lit(4))
+def _page_type(doc_id: Column | None = None) -> Column:
+    key = F.col("doc_id") if doc_id is None else doc_id
+    slot = F.pmod(F.floor(key / 24), F.lit(4))
     return F.element_at(F.array(*[F.lit(t) for t in L.PAGE_TYPES]), (slot + 1).cast("int"))
 
 
+def address_of(doc_id: Column) -> Column:
+    """Address of a document's page."""
+    return F.concat(F.lit(SITE_URL), _page_type(doc_id), F.lit("/"), doc_id)
+
+
 def _url() -> Column:
-    return F.concat(F.lit(SITE_URL), _page_type(), F.lit("/"), F.col("doc_id"))
+    return address_of(F.col("doc_id"))
 
 
 def _image() -> Column:

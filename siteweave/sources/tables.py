@@ -1,5 +1,7 @@
 """Scans: stored tables, lexicons, saved service answers, earlier output, progress."""
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -151,6 +153,38 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its whole content, unless there is one of that name; whether it was created.
+
+    Of several that try at once exactly one succeeds: a mounted file system links a written file to its name, and others
+    rename it, which on distributed file systems fails if the name is taken (on plain object stores it may not).
+    """
+    folder, name = path.rsplit("/", 1)
+    hidden = f"{folder}/_new-{uuid.uuid4().hex}"
+    if "://" in path:
+        paths = spark._jvm.org.apache.hadoop.fs.Path
+        files = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        out = files.create(paths(hidden), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        won = not files.exists(paths(path)) and files.rename(paths(hidden), paths(path))
+        if not won:
+            files.delete(paths(hidden), False)
+        return won
+    folder = folder.removeprefix("file:")
+    hidden = hidden.removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    with open(hidden, "x", encoding="utf-8") as f:
+        f.write(text)
+    try:
+        os.link(hidden, f"{folder}/{name}")
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        os.remove(hidden)
+
+
 def reset(spark: SparkSession, path: str, schema: str = S.PROCESSED, partition: str | None = None) -> None:
     """Clear progress by writing an empty table over it."""
     writer = _empty(spark, schema).write.mode("overwrite")

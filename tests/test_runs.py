@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -342,3 +343,64 @@ def test_checkpoint_documents(spark):
     assert store.processed().count() == 4 and [r.page_type for r in store.completed().collect()] == ["monuments"]
     listed = local_table(spark, [("http://test.com", "Other", "x", 1), ("u", "Test Site", "x", 2), ("v", "New", "x", 3)], "url STRING, name STRING, page_type STRING, pos LONG")
     assert [r.name for r in incremental.pending_sites(listed, store.processed()).collect()] == ["New"]
+
+
+def test_only_one_creates_a_file(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = shared_dir(spark)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda n: tables.create_once(spark, f"{folder}/1.json", str(n)), range(40)))
+    assert sum(won) == 1 and open(f"{folder}/1.json").read() == str(won.index(True)) and os.listdir(folder) == ["1.json"]
+    assert [tables.create_once(spark, f"file://{folder}/2.json", "x") for _ in range(2)] == [True, False]
+
+
+def test_two_runs_at_once(spark, crawl, monkeypatch):
+    """A second run publishes while the first has its batch worked out: ids are distinct, nothing is lost or repeated."""
+    store = incremental.Store(spark, shared_dir(spark))
+    other = incremental.Store(spark, store.path)
+    save, versions = incremental.Store.save, []
+
+    def interrupted(self, site, progress, batch, version, *more):
+        if self is store and not versions:
+            versions.append(version)
+            listed = crawl.listing.filter("page_type = 'museums' or name = 'Lost Mound'")
+            incremental.run(replace(crawl, listing=listed), other, mark_completed=False)
+        versions.append(version)
+        return save(self, site, progress, batch, version, *more)
+
+    monkeypatch.setattr(incremental.Store, "save", interrupted)
+    incremental.run(crawl, store, ["monuments", "museums"], mark_completed=False)
+    assert versions == [0, 0, 1, 0, 2]  # first try (marked and saved after the other's two batches), then the repeat
+    sites = [(r.id, r["name"]) for r in store.output_table("sites", "id STRING, name STRING").collect()]
+    assert sorted(sites) == [("site_001", "Gem Hall"), ("site_002", "Karnak Temple")]
+    assert sorted(r["name"] for r in store.processed().collect()) == ["Gem Hall", "Karnak Temple", "Lost Mound"]
+    assert store.version() == 3
+
+
+def test_update_equals_a_fresh_run(spark, crawl):
+    """Of three sites one has a changed page and one a new Arabic page; afterwards all five tables are those of a fresh run."""
+    schemas = {
+        "sites": "id STRING, name STRING, arabicName STRING, era STRING, shortDescription STRING", "subLocations": "id STRING, name STRING",
+        "cards": "id STRING, fullDescription STRING", "tips": "siteId STRING, tip STRING", "arabicPhrases": "siteId STRING, english STRING",
+    }
+
+    def export_of(store):
+        return {name: sorted(map(str, store.output_table(name, schema).drop("batch").collect())) for name, schema in schemas.items()}
+
+    store, fresh = (incremental.Store(spark, shared_dir(spark)) for _ in range(2))
+    incremental.run(crawl, store)
+    before = export_of(store)
+    new = [
+        ("https://s/en/monuments/1", f"<h1>Karnak page</h1><p>{KEEP}Now a coptic church with an Inner Hall.</p>"), *PAGES[1:],
+        ("https://s/ar/museums/3", "<h1>قاعة</h1>"), ("https://s/en/other/9", "<p>of no site</p>"),
+    ]
+    later = replace(crawl, pages=spark.createDataFrame(new, S.PAGE))
+    incremental.update(later, store)
+    incremental.run(later, fresh)
+    after = export_of(store)
+    assert after == export_of(fresh) and after != before and all(after.values())
+    version = store.version()
+    incremental.update(later, store)
+    assert store.version() == version  # nothing has changed since
+    assert sum("Kom el-Dikka" in row for row in after["sites"]) == 1 and store.last_number() == 3

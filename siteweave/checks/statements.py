@@ -471,11 +471,6 @@ add(
     "SELECT url, name, page_type, CASE WHEN url IN (SELECT url FROM detail_pages) THEN 'done' ELSE 'failed' END AS status FROM listing",
 )
 
-add(
-    "incremental_tables", ["site"],
-    "SELECT id, name, era, \"arabicName\", len(subs) AS cards, (len(subs) * length(\"fullDescription\"))::BIGINT AS card_chars FROM site",
-)
-
 # ---- streams --------------------------------------------------------------------------------------------
 add("incremental_listing", ["listing"], "SELECT * FROM listing")
 add("stream_dedup", ["listing"], "SELECT DISTINCT page_type, url FROM listing")

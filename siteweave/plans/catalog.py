@@ -4,7 +4,6 @@ Array results are shown as joined text, so that any engine's rows compare by val
 """
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -931,22 +930,6 @@ def incremental_run(spark, sf):
     return store.processed().select("url", "name", "page_type", "status")
 
 
-@register("incremental_tables")
-def incremental_tables(spark, sf):
-    """A run over outdated pages (of labelled documents), then an update with the present ones: sites and cards."""
-    whole = crawl(spark, sf)
-    old = C.table(spark, sf, "labels").select(C.address_of(F.col("doc_id")).alias("url")).withColumn("_old", F.lit(True))
-    outdated = F.when(F.col("_old"), F.replace("html", F.lit("</p>"), F.lit(" Outdated.</p>"))).otherwise(F.col("html"))
-    pages = whole.pages.join(old, "url", "left").select("url", outdated.alias("html"))
-    store = incremental.Store(spark, shared_dir(spark))
-    incremental.run(replace(whole, pages=pages), store)
-    incremental.update(whole, store)
-    cards = store.output_table("cards", "subLocationId STRING, fullDescription STRING").groupBy(
-        F.substring_index("subLocationId", "_sub_", 1).alias("id")
-    ).agg(F.count(F.lit(1)).alias("cards"), F.sum(F.length("fullDescription")).alias("card_chars"))
-    return store.output_table("sites", "id STRING, name STRING, era STRING, arabicName STRING").drop("batch").join(cards, "id")
-
-
 # ---- streams --------------------------------------------------------------------------------------------
 def documents_stream(spark, sf):
     schema = C.table(spark, sf, "documents").schema

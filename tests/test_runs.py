@@ -378,7 +378,6 @@ def test_two_runs_at_once(spark, crawl, monkeypatch):
     assert store.version() == 3
 
 
-@pytest.mark.skip(reason="not yet run to its end")
 def test_update_equals_a_fresh_run(spark, crawl):
     """Of three sites one has a changed page and one a new Arabic page; afterwards all five tables are those of a fresh run."""
     schemas = {

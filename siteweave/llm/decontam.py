@@ -1,17 +1,18 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations only.
 
-For a benchmark item of n words, every n-word window of a document is a candidate, provided that it holds at least one
-of the item's shingles (a window alike to the item shares most of them, so this loses nothing).  A document with fewer
+For a benchmark item of n words, every n-word window of a document is a candidate, provided that it holds one of the
+item's rarest shingles: of the item's ``b`` shingles at least ``t = percent * b / 100`` must be in the window, so one of any
+``b - t + 1`` is, repeats counted.  The rarest in the benchmark are taken; this loses nothing.  A document with fewer
 words than the item is one window, the whole document, where its size can still reach the threshold.
 
-1. ``hits``: shingles of all documents are joined with the (few, counted) shingles of the benchmark.
-2. Each hit names the windows around it.  A window's SimHash has 128 bits: per bit, the shingles' votes are summed, each
-   shingle voting as often as it occurs.  Votes of 64 bits are summed in 32 numbers of two 32-bit fields.
+1. ``hits``: shingles of all documents are joined with the (few, counted) rarest shingles of the benchmark's items.
+2. Each hit names the windows around it.  Documents are cut into segments of window starts, with the shingles that their
+   windows reach, so no row grows with the document.  A window's SimHash has 128 bits: per bit, the shingles' votes are
+   summed, each shingle voting as often as it occurs.  Votes of 64 bits are summed in 32 numbers of two 32-bit fields.
 3. Multi-index Hamming search: fingerprints are cut into ``radius + 1`` blocks; two fingerprints within the radius agree in
    at least one block, so windows and items of the same length are joined on (length, block, value).  All fingerprints
-   within the radius are found.  Whole documents that are shorter than the item need no fingerprint: of the item's ``b``
-   shingles at least ``t = percent * b / 100`` must be in the document, so one of any ``b - t + 1`` is; its rarest ones in
-   the benchmark are joined with the document's.  This is exact at every size.
+   within the radius are found.  Whole documents that are shorter than the item need no fingerprint: the item's rarest
+   shingles are joined with the document's.  This is exact at every size.
 4. The weighted similarity of window and item, sum of least over sum of greatest multiplicities of their shingles,
    is computed exactly and must reach the threshold.
 
@@ -35,6 +36,7 @@ SHINGLE = 5
 PERCENT = 80
 RADIUS = 40
 BROADCAST_ROWS = 2_000_000  # most benchmark shingles or blocks that are broadcast (two or three numbers each)
+SEGMENT = 1_024  # window starts in one row
 SEEDS = (625079441, 1812991333)  # of the two words of a fingerprint
 _FIELDS = 0x0000000100000001
 
@@ -86,7 +88,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def _short(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """Matches of items of ``n`` words, fewer than a shingle: such an item is one shingle and matches its equals only."""
     def each(w: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+        found = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
         return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<long>"))
 
     spread = texts.select("_row", F.posexplode_outer(let(hashed_words("text"), each)).alias("place", "h"))
@@ -105,29 +107,46 @@ def _rarest(items: DataFrame, percent: int) -> DataFrame:
     return ordered.select("item", "n_words", F.explode(F.slice("o", F.lit(1), needed)).alias("o")).select("item", "n_words", F.col("o.h").alias("h")).distinct()
 
 
+def _segments(k: int, longest: int) -> Column:
+    """Of a document's shingles ``s.sh``: (seg, part), each with the shingles of all windows that start in the segment."""
+    def segment(g: Column) -> Column:
+        last = F.least((g + 1) * SEGMENT - 1 + (longest - k), F.size("s.sh") - 1)
+        return F.struct(g.alias("seg"), F.transform(F.sequence(g * SEGMENT, last), lambda i: F.get("s.sh", i)).alias("part"))
+
+    return F.transform(F.expr(f"sequence(0, (size(s.sh) - 1) div {SEGMENT})").cast("array<int>"), segment)
+
+
 def _windows(k: int, percent: int) -> Column:
-    """The windows (start, n_words, ws) around the hits of a document: places, items' lengths and their shingles, each once.
+    """The windows (start, n_words, ws) of a segment around its hits: places, items' lengths and their shingles, each once.
 
     A document shorter than the item is one window with fewer shingles, if they suffice.
     """
+    base = F.col("seg") * SEGMENT
+
     def reach(hit: Column) -> Column:
-        first = F.greatest(F.lit(0), hit["place"] - (hit["n_words"] - k))  # a window's shingles start at most n - k places earlier
-        last = F.least(hit["place"], F.col("s.n_words") - hit["n_words"])
+        # a window's shingles start at most n - k places earlier
+        first = F.greatest(base, hit["place"] - (hit["n_words"] - k))
+        last = F.least(base + (SEGMENT - 1), hit["place"], F.col("doc_words") - hit["n_words"])
         starts = F.transform(F.sequence(first, last), lambda x: F.shiftleft(x.cast("long"), 31).bitwiseOR(hit["n_words"].cast("long")))
-        suffices = (F.col("s.n_words") - (k - 1)) * 100 >= (hit["n_words"] - (k - 1)) * percent
-        whole = (F.col("s.n_words") < hit["n_words"]) & suffices
+        suffices = (F.col("doc_words") - (k - 1)) * 100 >= (hit["n_words"] - (k - 1)) * percent
+        whole = (F.col("doc_words") < hit["n_words"]) & suffices & (F.col("seg") == 0)
         return F.when(first <= last, starts).when(whole, F.array(hit["n_words"].cast("long"))).otherwise(F.array().cast("array<long>"))
 
     def window(key: Column) -> Column:
         start, n = F.shiftright(key, 31).cast("int"), key.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-        return F.struct(start.alias("start"), n.alias("n_words"), F.slice("s.sh", start + 1, n - k + 1).alias("ws"))
+        last = F.least(start + n, F.col("doc_words")) - k
+        # by place: a slice would copy the whole segment for each window
+        shingles = F.transform(F.sequence(start, last), lambda i: F.get("part", i - base))
+        return F.struct(start.alias("start"), n.alias("n_words"), shingles.alias("ws"))
 
     return F.transform(F.array_distinct(F.flatten(F.transform("hits", reach))), window)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """(_row, item_id, start_word, n_words, similarity): the best window of every matching document and item."""
-    texts = docs if "_row" in docs.columns else keyed(docs, "text")
+def contaminated(texts: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+    """(_row, item_id, start_word, n_words, similarity): the best window of every matching document and item.
+
+    ``texts`` holds the text and a unique ``_row`` for each document, as :func:`rows.keyed` gives them.
+    """
 
     def both(w: Column) -> Column:
         return F.struct(F.size(w).alias("n_words"), shingles_of(w, k).alias("sh"))
@@ -136,15 +155,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     every = staged(every.select("item_id", "s.n_words", "s.sh").filter("n_words > 0").withColumn("item", F.monotonically_increasing_id()))
     short = [r["n_words"] for r in every.filter(F.col("n_words") < k).select("n_words").distinct().collect()]  # fewer than k numbers
     items = every.filter(F.col("n_words") >= k)
-    by_shingle = staged(items.select("n_words", F.explode("sh").alias("h")).distinct())
-    n_shingles = by_shingle.count()
+    rarest = staged(_rarest(items, percent))
+    by_shingle = staged(rarest.select("n_words", "h").distinct())
 
     spread = texts.select("_row", F.posexplode_outer(let(hashed_words("text"), lambda w: shingles_of(w, k))).alias("place", "h"))
-    hits = staged(spread.join(_sized(by_shingle, n_shingles), "h").select("_row", "place", "n_words").distinct())
-    asked = hits.groupBy("_row").agg(F.collect_list(F.struct("place", "n_words")).alias("hits"))  # of one document
+    hits = staged(spread.join(_sized(by_shingle, by_shingle.count()), "h").select("_row", "place", "n_words").distinct())
     # the same plan at every size: the number of documents with hits has no bound, so they are never broadcast
-    shingled = texts.select("_row", "text").join(asked.hint("merge"), "_row").select("_row", "hits", let(hashed_words("text"), both).alias("s"))
-    windows = staged(staged(shingled).select("_row", F.explode(_windows(k, percent)).alias("w")).select("_row", "w.*"))
+    asked = hits.select("_row").distinct()
+    shingled = staged(texts.select("_row", "text").join(asked.hint("merge"), "_row").select("_row", let(hashed_words("text"), both).alias("s")))
+    longest = items.agg(F.max("n_words")).first()[0] or k
+    segments = shingled.select("_row", F.col("s.n_words").alias("doc_words"), F.explode(_segments(k, longest)).alias("g")).select("_row", "doc_words", "g.*")
+    segs = F.expr(f"sequence(greatest(0, place - n_words + {k}) div {SEGMENT}, place div {SEGMENT})").cast("array<int>")
+    placed = hits.select("_row", "place", "n_words", F.explode(segs).alias("seg"))
+    placed = placed.groupBy("_row", "seg").agg(F.collect_list(F.struct("place", "n_words")).alias("hits"))  # places within reach of one segment
+    windows = staged(segments.join(placed.hint("merge"), ["_row", "seg"]).select("_row", F.explode(_windows(k, percent)).alias("w")).select("_row", "w.*"))
     keys = ["_row", "start", "n_words"]
     whole = F.size("ws") < F.col("n_words") - (k - 1)
     # written, so that the long expressions of the bits are not repeated in every block
@@ -155,11 +179,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     blocks = prints.select(*keys, "f0", "f1", F.explode(block_values(radius)).alias("b")).select(*keys, "f0", "f1", "b.*")
     distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("i0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("i1")))
     near = blocks.join(_sized(item_blocks, item_blocks.count()), ["n_words", "block", "value"]).filter(distance <= radius)
-    rarest = staged(_rarest(items, percent))
     shorter = windows.filter(whole).select(*keys, F.explode(F.array_distinct("ws")).alias("h")).join(_sized(rarest, rarest.count()), ["n_words", "h"])
     near = near.select(*keys, "item").unionByName(shorter.select(*keys, "item")).distinct()
 
-    pairs = near.hint("merge").join(windows, keys).join(_sized(items.select("item", "item_id", "sh"), n_shingles), "item")
+    pairs = near.hint("merge").join(windows, keys).join(_sized(items.select("item", "item_id", "sh"), items.agg(F.sum(F.size("sh"))).first()[0] or 0), "item")
     common = F.aggregate(
         F.array_distinct("ws"), F.lit(0),
         lambda total, h: total + F.least(F.size(F.filter("ws", lambda x: x == h)), F.size(F.filter("sh", lambda x: x == h))),

@@ -1,4 +1,6 @@
+import random
 import textwrap
+import time
 
 from siteweave.llm import decontam, licenses, quality
 from tests.llm import plain
@@ -84,6 +86,31 @@ def test_decontamination(spark):
     assert decontam.report(spark.createDataFrame(docs, SCHEMA), nothing).collect() == []
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    """A long text of two words takes time in proportion to its length; of windows with repeated shingles at least 0.9 are found, and nothing else."""
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(30)]
+    items = [(i, " ".join(rng.choice(phrases[i % 10 * 3:i % 10 * 3 + 3]) for _ in range(rng.randrange(4, 14))), "b") for i in range(16)]
+    docs = []
+    for n, (i, text, _) in enumerate(items * 3):
+        words = text.split()
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(len(words))] = "z"
+        filler = " ".join(rng.choice("abcdefgh") for _ in range(1_020 if n == 20 else rng.choice([0, 3, 30])))
+        docs.append((n, f"{filler} {' '.join(words)} tail", 0, ""))
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in decontam.report(
+        spark.createDataFrame(docs, SCHEMA).repartition(4), spark.createDataFrame(items, "item_id long, text string, extra string")).collect()}
+    want = {k: (round(s, 9), at) for k, (s, at) in plain.benchmark_hits([d[:2] for d in docs], [i[:2] for i in items]).items()}
+    assert set(got) <= set(want) and len(want) > 20
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
+
+    long = spark.createDataFrame([(1, "a b " * 100_000, 0, "")], SCHEMA)
+    began = time.monotonic()
+    found = decontam.report(long, spark.createDataFrame([(0, "a b " * 50, "b")], "item_id long, text string, extra string")).collect()
+    assert [(r.doc_id, r.start_word, r.n_words, r.similarity) for r in found] == [(1, 0, 100, 1.0)]
+    assert time.monotonic() - began < 120
+
+
 def test_documents_shorter_than_the_item(spark):
     items = [(n, " ".join(f"{n}w{i}" for i in range(n)), "b") for n in (9, 16, 30, 50)]
     items += [(100 + n, text + " tail", "b") for n, text, _ in items] + [(200, "a b c d " * 10 + "e", "b")]

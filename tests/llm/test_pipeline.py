@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siteweave.llm import encode
@@ -80,3 +81,39 @@ def test_run_is_the_stages_one_after_the_other(spark, stages):
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == sorted(tuple(r) for r in stages["token_files"].collect())
     assert re.fullmatch(r"[a-z_]+", corpus_pipeline.STAGES[0][0])
+
+
+def folder_with(spark, path, documents):
+    """A folder of tables: these documents and the given labels and benchmark."""
+    documents.coalesce(1).write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_odd_rows_and_clashing_columns(spark, stages, tmp_path):
+    """Null ids, null and empty texts, repeated rows and columns named like inner ones: defined results, and other documents as before."""
+    docs = stages["documents"]
+    first = docs.orderBy("doc_id").limit(1)
+    none = first.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
+    empty = first.withColumn("text", F.lit("")).withColumn("doc_id", F.lit(-1).cast("long"))
+    odd = docs.unionByName(none).unionByName(none).unionByName(empty).unionByName(first)
+    for name in ("_row", "_key", "h", "size", "n", "score", "label"):
+        odd = odd.withColumn(name, F.lit("x"))
+    sf = folder_with(spark, tmp_path / "tables", odd)
+    rows_, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, rows_, sf).write.parquet(str(tmp_path / name))
+        rows_ = kept[name] = spark.read.parquet(str(tmp_path / name))
+        assert rows_.columns == odd.columns
+    before = {(r.doc_id, r.text) for r in stages["decontamination"].collect()}
+    after = [(r.doc_id, r.text) for r in kept["decontamination"].collect()]
+    assert {r for r in after if r[1]} == before and len([r for r in after if r[1]]) == len(before)  # the repeated row went
+    assert sum(r == (None, None) for r in after) == 2 and (-1, "") in after  # texts without words are linked with nothing
+    files = corpus_pipeline.STAGES[-1][1](spark, rows_, sf).collect()
+    assert len(files) == rows_.count() and {r.doc_id for r in files} == {r.doc_id for r in rows_.collect()}
+
+
+def test_empty_documents(spark, stages, tmp_path):
+    sf = folder_with(spark, tmp_path / "tables", stages["documents"].limit(0))
+    assert corpus_pipeline.run(spark, sf).collect() == []

@@ -1,4 +1,9 @@
-"""The training-data pipeline: five operators, each on what the one before has kept."""
+"""The training-data pipeline: five operators, each on what the one before has kept.
+
+Defined cases: null ids and repeated rows are documents of their own; null and empty texts are scored like any other, are
+linked with nothing, match no benchmark item and have an end id only; other columns, whatever their names, are kept up to
+the last stage, and none of them is looked at but ``source``; an empty table gives an empty result.
+"""
 
 from collections.abc import Callable
 

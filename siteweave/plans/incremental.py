@@ -2,7 +2,9 @@
 
 import json
 import uuid
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql.types import StructType
 from siteweave import lexicons as L
 from siteweave import schemas as S
 from siteweave.functions import text as T
-from siteweave.operators import match, metrics
+from siteweave.operators import glossary, metrics
 from siteweave.operators.joins import HOT_ROWS, lookup_join, number_rows, without
 from siteweave.plans import export, research
 from siteweave.plans.research import Crawl
@@ -257,42 +259,75 @@ def run(
 
     Site ids go on from the stored maximum.  A site without a page is recorded as failed; it is tried
     again only on request.  ``run_id`` must be given only to replace an earlier run of that id.
+
+    What is pending when the run begins is researched at once, but for the ids.  Each type's batch then takes those of its
+    rows that are pending by then, numbers them and is published by itself.
     """
     name = run_id or uuid.uuid4().hex
     skipped = {row["page_type"] for row in store.completed().select("page_type").collect()}  # names of types
-    for rank, page_type in enumerate(page_types or page_types_of(crawl.listing)):
-        if page_type in skipped:
-            continue
-        rows = research.first_of_each_type(of_type(crawl.listing, page_type), max_sites)
-        while not _run_batch(crawl, store, rows, f"{name}-{rank:03d}", skip_existing, retry_failed, options):
+    types = [(rank, t) for rank, t in enumerate(page_types or page_types_of(crawl.listing)) if t not in skipped]
+    if not types:
+        return
+    earlier = store.processed(retry_failed=retry_failed)
+    if run_id:
+        earlier = earlier.filter(~F.startswith("batch", F.lit(f"{name}-")))  # what this run did before is done again
+    existing = store.existing() if skip_existing and not run_id else None
+    chosen = crawl.listing.filter(reduce(or_, [F.col("page_type").eqNullSafe(F.lit(t).cast("string")) for _, t in types]))
+    chosen = research.first_of_each_type(chosen, max_sites)
+    found = _research_pending(replace(crawl, listing=chosen), earlier, existing, options)
+    for rank, page_type in types:
+        batch = f"{name}-{rank:03d}"
+        while found and not _run_batch(found, store, page_type, batch, skip_existing, retry_failed):
             pass  # another run published since; each try means that some run got on
         if mark_completed:
             store.complete(page_type)
 
 
-def _run_batch(
-    crawl: Crawl, store: Store, rows: DataFrame, batch: str, skip_existing: bool, retry_failed: bool, options: dict
-) -> bool:
-    """Research what is new among ``rows`` and publish it; False if the store went on meanwhile."""
+@dataclass(frozen=True)
+class Found:
+    """What a run has researched: its pending listing rows, its pages' contents, its site rows but for the ids, and its translations."""
+
+    pending: DataFrame
+    contents: DataFrame
+    known: DataFrame
+    dictionary: DataFrame
+
+
+def _research_pending(crawl: Crawl, processed: DataFrame, existing: DataFrame | None, options: dict) -> Found | None:
+    """Research the listing rows that are pending, all page types at once; None if there are none."""
+    blank = research.blank_texts(crawl.listing)
+    rows = pending_sites(research.shortened(blank), processed, existing)
+    pending = staged(rows.withColumn("_row", F.monotonically_increasing_id()))
+    if pending.isEmpty():
+        return None
+    # only what the run needs is read further on
+    crawl = research.snapshot(replace(crawl, listing=pending))
+    pages = hashed(crawl.pages.join(research.addresses(pending), "url", "left_semi"))
+    contents = staged(research.page_contents(pages, "content_hash"))
+    dictionary = research.dictionary_of(crawl)
+    keep = ["_row", *[c for c in research.OF_LISTING if c != "id"]]
+    known = research.research_rows(pending, contents.drop("content_hash"), crawl, dictionary, keep=keep, **options)
+    return Found(pending, contents, staged(known), dictionary)
+
+
+def _run_batch(found: Found, store: Store, page_type: str | None, batch: str, skip_existing: bool, retry_failed: bool) -> bool:
+    """Number and publish what is pending of a page type; False if the store went on meanwhile."""
     version = store.version()  # before anything else is read
     existing = store.existing(batch) if skip_existing else None
-    todo = staged(pending_sites(rows, store.processed(batch, retry_failed), existing))
+    todo = staged(pending_sites(of_type(found.pending, page_type), store.processed(batch, retry_failed), existing))
     if todo.isEmpty():
         return True
-    # only what the batch needs is read further on
-    wanted = todo.select(F.explode(F.array("url", T.arabic_url(F.col("url")))).alias("url")).distinct()
-    pages = staged(crawl.pages.join(wanted, "url", "left_semi"))
-    part = replace(crawl, listing=todo, pages=pages)
-    if "index" not in options:
-        options["index"] = match.title_index(crawl.articles)  # once for all batches of the run
-    site = research.research_sites(part, first_number=store.last_number(batch), **options)
-    found = pages.select("url", F.lit(True).alias("_found")).distinct()
-    progress = todo.join(found, "url", "left").select(
+    listed = staged(research.numbered(todo, found.contents, store.last_number(batch)).select("_row", "id"))
+    known = of_type(found.known, page_type).join(listed, "_row")
+    site = research.site_rows(known.withColumn("translations", glossary.lexicon_translations(found.dictionary)))
+    pages = found.contents.select("url", F.lit(True).alias("_found")).distinct()
+    progress = todo.join(pages, "url", "left").select(
         "url", "name", "page_type",
         F.when(F.col("_found"), F.lit("done")).otherwise(F.lit("failed")).alias("status"),
         F.current_timestamp().alias("updated_at"),
     )
-    return store.save(site, progress, batch, version, hashed(pages))
+    hashes = found.contents.select("url", "content_hash").join(research.addresses(todo), "url", "left_semi")
+    return store.save(site, progress, batch, version, hashes)
 
 
 def update(crawl: Crawl, store: Store, **options) -> None:

@@ -34,3 +34,12 @@ def test_incremental_listing(spark, sf):
 def test_stream_dedup(spark, sf):
     listed = QUERIES["listing_card_extract"](spark, sf).select("page_type", "url")
     assert sorted(QUERIES["stream_dedup"](spark, sf).collect()) == sorted(listed.collect())
+
+
+@pytest.mark.parametrize("name", ["stream_dedup", "incremental_listing"])
+def test_documents_in_partition_folders(spark, tmp_path, name):
+    documents = spark.createDataFrame([(k, text, "en" if k % 2 else None) for k, text in ROWS], "doc_id LONG, text STRING, lang STRING")
+    documents.write.partitionBy("lang").parquet(f"{tmp_path}/documents.parquet")
+    listed = QUERIES["listing_card_extract"](spark, str(tmp_path)).select("page_type", "url")
+    got = QUERIES[name](spark, str(tmp_path)).select("page_type", "url")
+    assert len(ROWS) == listed.count() and sorted(got.collect()) == sorted(listed.collect())
